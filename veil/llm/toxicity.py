@@ -49,10 +49,13 @@ class Fit:
     width: int = 4
     least: int = 3
     most: int = 6
-    epochs: int = 8
-    batch: int = 64
+    #: Mini-batches in all; small samples are passed over more often.
+    steps: int = 1500
+    batch: int = 32
     rate: float = 1.0
     seed: int = 11
+    #: What a toxic row counts, beyond its class's share.
+    toxic_weight: float = 2.0
 
 
 def bags(data: np.ndarray, start: np.ndarray, end: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +119,9 @@ def train(documents: list[tuple[np.ndarray, int, float]], fit: Fit) -> Model:
     bias = np.log([1 - share, share]).astype(np.float32)
     seen, seen_softmax, seen_bias = np.full(fit.rows, 1e-12, np.float32), np.full(softmax.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     scale = weights / weights.mean()
-    for epoch in range(fit.epochs):
-        rate = fit.rate * (1 - epoch / fit.epochs)
+    epochs = max(1, round(fit.steps * fit.batch / len(documents)))
+    for epoch in range(epochs):
+        rate = fit.rate * (1 - epoch / epochs)
         order = rng.permutation(len(documents))
         for at in range(0, len(order), fit.batch):
             chosen = [i for i in order[at : at + fit.batch] if len(documents[i][0])]
@@ -173,7 +177,7 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit | None
     ids, label_, blob = (table.column(i).to_pylist() for i in range(3))
     taken = {y: sum(1 for x in label_ if x == y) for y in (0, 1)}
     order = sorted(range(len(ids)), key=lambda i: (ids[i], blob[i]))
-    return train([(np.frombuffer(blob[i], "<i4"), label_[i], counts[label_[i]] / taken[label_[i]]) for i in order], fit)
+    return train([(np.frombuffer(blob[i], "<i4"), label_[i], counts[label_[i]] / taken[label_[i]] * (fit.toxic_weight if label_[i] else 1.0)) for i in order], fit)
 
 
 def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
