@@ -97,6 +97,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 0, 2048))
 
 
+def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veil.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veil.llm.repetition import quality
 
@@ -135,5 +141,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_token_store, op3_best_fit_packing, op4_exact_top_k, op5_reshard, op8_quality_rules, op9_near_duplicates, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_token_store, op3_best_fit_packing, op4_exact_top_k, op5_reshard, op6_repeat_removal, op8_quality_rules, op9_near_duplicates, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL}
