@@ -103,6 +103,14 @@ def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
 
 
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veil.llm.pieces import decode, encode
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    back = decode(encode(table(spark, sf_dir, "documents"), path, seed=7), path)
+    return back.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veil.llm.repetition import quality
 
@@ -141,5 +149,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_token_store, op3_best_fit_packing, op4_exact_top_k, op5_reshard, op6_repeat_removal, op8_quality_rules, op9_near_duplicates, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_token_store, op3_best_fit_packing, op4_exact_top_k, op5_reshard, op6_repeat_removal, op7_sampled_pieces, op8_quality_rules, op9_near_duplicates, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL}
