@@ -156,7 +156,7 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, near: N
 
 
 def signatures(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
-    """doc_id, n, node, registers of each row."""
+    """row (a hash of key and text), doc_id, n, node, registers of each row."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -164,11 +164,11 @@ def signatures(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
                 owner, got = shingles(data, offsets, near.shingle)
                 raw = registers(owner, got, b - a, near)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a)), pa.array(nodes_of(owner, got, b - a)), _binary(raw.tobytes(), np.full(b - a, raw.shape[1] * 2))],
-                    names=["doc_id", "n", "node", "registers"],
+                    [part.column(2).slice(a, b - a), part.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a)), pa.array(nodes_of(owner, got, b - a)), _binary(raw.tobytes(), np.full(b - a, raw.shape[1] * 2))],
+                    names=["row", "doc_id", "n", "node", "registers"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, node long, registers binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("row")).mapInArrow(sign, "row long, doc_id long, n long, node long, registers binary")
 
 
 def _binary(body: bytes, size: np.ndarray) -> pa.Array:
@@ -316,7 +316,7 @@ def mixed_pairs(buckets: DataFrame, nodes: DataFrame, known: DataFrame, near: Ne
 
 
 def near_duplicates(docs: DataFrame, near: Near | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest key that links reach) and kept, a row for each row."""
+    """doc_id, n_shingles, component_id (the smallest key that links reach), kept, and row (a hash of key and text), a row for each row."""
     near, spark = near or Near(), docs.sparkSession
     bounded_batches(spark)
     signed = through_table(spark, signatures(docs, near, key, text), "signatures")
@@ -346,6 +346,6 @@ def near_duplicates(docs: DataFrame, near: Near | None = None, *, key: str = "do
     whole = nodes.join(known, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named_ = whole.join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("node")).alias("node")).join(named_, "node", "left")
+    out = signed.select("row", "doc_id", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("node")).alias("node")).join(named_, "node", "left")
     found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"), "row")
