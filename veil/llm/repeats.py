@@ -166,12 +166,13 @@ def repeated_spans(rows: DataFrame, rule: Repeats) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest), part.column(0).slice(a, b - a).take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int16)), pa.array(before.astype(np.int16))], names=["anchor", "digest", "row", "first", "many", "before"])
 
     every = rows.mapInArrow(cut, "anchor long, digest long, row long, first int, many short, before short")
-    often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    # written, so that the join has plain shuffles on both sides and Spark can split an anchor that very many rows share
+    often = through_table(spark, every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "anchors")
     found = through_table(spark, every.join(often, "anchor"), "segments")
     release(spark)
     kinds = through_table(spark, found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first")).alias("at"), F.first("many").alias("many"), F.first("before").alias("before")), "kinds")
     whole = found.join(kinds.where("times > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.col("first").cast("long").alias("low"), (F.col("first") + F.col("many") + F.lit(rule.length - 1)).cast("long").alias("high"))
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    groups = through_table(spark, kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "groups")
     wanted = kinds.join(groups, "anchor").select(F.col("at.row").alias("row"), F.col("at.first").alias("first"), "anchor", "digest", "many", "before", "times", "kinds")
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
