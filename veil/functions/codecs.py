@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from veil.errors import PolicyError
 from veil.functions.fakes import GENERATORS, luhn_digit
-from veil.functions.keyed import choice, digits
+from veil.functions.keyed import choice, digits, let
 from veil.functions.strategies import hashed, masked
 from veil.operators.values import EMAIL, JAVA, PHONE
 
@@ -60,7 +60,7 @@ def luhn(number: Column) -> Column:
         return F.when(i % 2 == 0, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
 
     total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), part), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(number.rlike(r"^\d+$"), total % 10 == 0).otherwise(False)
+    return F.when(number.rlike(r"^[0-9]+$"), total % 10 == 0).otherwise(False)
 
 
 def valid_email(value: Column) -> Column:
@@ -179,7 +179,7 @@ def card_simple(value: Column, strategy: str = "mask", *, key: str | None = None
     elif strategy == "replace":
         lead = F.when(d.startswith("5"), F.concat(F.lit("5"), choice(0, "card", d, ("1", "2", "3", "4", "5")))).otherwise(F.concat(F.lit("4"), digits(0, "card", d, 1, 1)))
         body = F.concat(lead, digits(0, "card", d, 13, 2))
-        whole = F.concat(body, luhn_digit(body, 15))
+        whole = let(body, lambda b: F.concat(b, luhn_digit(b, 15)))
     if strategy == "replace":
         made = F.concat_ws("-", *(F.substring(whole, 1 + 4 * i, 4) for i in range(4)))
     elif strategy == "token" and key:

@@ -7,12 +7,11 @@ Check-digit types carry right check digits.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.functions.keyed import below, choice, digits, hexes, number
+from veil.functions.keyed import below, choice, digits, hexes, let, number
 
 FIRST = ("Ada", "Ben", "Clara", "David", "Elena", "Felix", "Greta", "Hugo", "Iris", "Jonas", "Karin", "Leo", "Mara", "Nils", "Olga", "Paul", "Quinn", "Rosa", "Simon", "Tara", "Uwe", "Vera", "Willem", "Xenia", "Yann", "Zoe")
 LAST = ("Abel", "Baker", "Costa", "Duran", "Engel", "Fischer", "Garcia", "Hansen", "Ivanov", "Jensen", "Keller", "Lopez", "Moreau", "Novak", "Olsen", "Peters", "Quist", "Rossi", "Santos", "Torres", "Unger", "Vidal", "Weber", "Young", "Ziegler")
@@ -33,23 +32,21 @@ VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 Fake = Callable[[object, str, Column], Column]
 
 
-def _digit(text: Column, i: int) -> Column:
-    return F.substring(text, i + 1, 1).cast("int")
+def _check_digit(body: Column, n: int, weigh: Callable[[Column, Column], Column]) -> Column:
+    """10 less the weighted sum of n digits, modulo 10; weigh gets a digit and its place from the right (0 first)."""
+    part = lambda i: weigh(F.substring(body, F.lit(n) - i, F.lit(1)).cast("int"), i)
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), part), F.lit(0), lambda t, x: t + x)
+    return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
 def luhn_digit(body: Column, n: int) -> Column:
     """The digit that makes n digits and it pass the Luhn test."""
-    total = F.lit(0)
-    for i in range(n):
-        d = _digit(body, i)
-        total = total + (F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2) if (n - 1 - i) % 2 == 0 else d)
-    return ((F.lit(10) - total % 10) % 10).cast("string")
+    return _check_digit(body, n, lambda d, i: F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2))
 
 
 def retail_digit(body: Column, n: int) -> Column:
     """The modulo-10 check digit with weights 3 and 1 from the right."""
-    total = reduce(lambda t, i: t + _digit(body, i) * (3 if (n - 1 - i) % 2 == 0 else 1), range(n), F.lit(0))
-    return ((F.lit(10) - total % 10) % 10).cast("string")
+    return _check_digit(body, n, lambda d, i: F.when(i % 2 == 0, d * 3).otherwise(d))
 
 
 def _first(s: object, d: str, v: Column) -> Column:
@@ -81,7 +78,10 @@ def _phone(s: object, d: str, v: Column) -> Column:
 
 
 def _uuid(s: object, d: str, v: Column) -> Column:
-    h = hexes(s, d, v, 32, 10)
+    return let(hexes(s, d, v, 32, 10), _uuid_of)
+
+
+def _uuid_of(h: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
@@ -102,16 +102,20 @@ def _mac(s: object, d: str, v: Column) -> Column:
 def _vin(s: object, d: str, v: Column) -> Column:
     places = [F.substring(F.lit(VIN_LETTERS), below(s, d, v, len(VIN_LETTERS), 20 + i).cast("int") + F.lit(1), F.lit(1)) for i in range(16)]
     codes = F.create_map(*(F.lit(x) for pair in VIN_VALUES.items() for x in pair))
-    weights = [w for i, w in enumerate(VIN_WEIGHTS) if i != 8]
-    total = reduce(lambda t, pw: t + F.element_at(codes, pw[0]) * pw[1], zip(places, weights, strict=True), F.lit(0)) % 11
-    check = F.when(total == 10, F.lit("X")).otherwise(total.cast("string"))
-    return F.concat(*places[:8], check, *places[8:])
+    weights = F.array(*(F.lit(w) for i, w in enumerate(VIN_WEIGHTS) if i != 8))
+
+    def whole(letters: Column) -> Column:
+        total = F.aggregate(F.zip_with(letters, weights, lambda c, w: F.element_at(codes, c) * w), F.lit(0), lambda t, x: t + x) % 11
+        check = F.when(total == 10, F.lit("X")).otherwise(total.cast("string"))
+        return F.concat(F.array_join(F.slice(letters, 1, 8), ""), check, F.array_join(F.slice(letters, 9, 8), ""))
+
+    return let(F.array(*places), whole)
 
 
 def _checked(size: int, start: str, check: Callable[[Column, int], Column], salt: int) -> Fake:
     def make(s: object, d: str, v: Column) -> Column:
         body = F.concat(F.lit(start), digits(s, d, v, size - len(start), salt)) if start else digits(s, d, v, size, salt)
-        return F.concat(body, check(body, size))
+        return let(body, lambda b: F.concat(b, check(b, size)))
 
     return make
 
@@ -125,7 +129,7 @@ def _ssn(s: object, d: str, v: Column) -> Column:
 
 def _card(s: object, d: str, v: Column) -> Column:
     whole = _checked(15, "4", luhn_digit, 53)(s, d, v)
-    return F.concat_ws("-", *(F.substring(whole, 1 + 4 * i, 4) for i in range(4)))
+    return let(whole, lambda w: F.concat_ws("-", *(F.substring(w, 1 + 4 * i, 4) for i in range(4))))
 
 
 def _birth(s: object, d: str, v: Column) -> Column:

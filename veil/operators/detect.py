@@ -7,6 +7,7 @@ sample_size); what it reads is bounded by the sample, except for
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +159,10 @@ def automatic_policy(df: DataFrame, strategy: str = "replace", *, patterns: Patt
     return Policy.of({n: {"strategy": strategy, "type": r["type"]} for n, r in found.items()}, **options)
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
 def csv_columns(df: DataFrame, patterns: Patterns | None = None, *, order: list[str] | None = None, rows: int = 100) -> dict[str, str]:
     """Column types of a table of strings: the first value's type, else the name's, else that of the first later value that fits."""
     patterns = patterns or Patterns()
@@ -184,7 +189,7 @@ def json_fields(df: DataFrame, patterns: Patterns | None = None, *, rows: int =
                 walk(f.dataType, value[f.name], f"{path}.{f.name}" if path else f.name)
         elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
             for f in kind.elementType.fields:
-                walk(ArrayType(f.dataType), F.transform(F.slice(value, 1, items), lambda x, n=f.name: x[n]), f"{path}[].{f.name}")
+                walk(ArrayType(f.dataType), F.transform(F.slice(value, 1, items), _field(f.name)), f"{path}[].{f.name}")
         elif isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType):
             walk(kind.elementType, F.flatten(F.slice(value, 1, items)), path)
         elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):

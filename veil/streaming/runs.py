@@ -8,6 +8,7 @@ goes on.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -31,6 +32,8 @@ class StreamOptions:
 
 def stream(spark: SparkSession, path: str, schema: StructType | str, format: str = "parquet", options: StreamOptions | None = None, **reader: Any) -> DataFrame:
     o = options or StreamOptions()
+    if "." in path.rpartition("/")[2] and not re.search(r"[*?{\[]", path):
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream's path is a folder or a pattern; this pattern fits that name alone
     return spark.readStream.format(format).schema(schema).options(maxFilesPerTrigger=o.files_per_batch, **reader).load(path)
 
 
