@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,3 +38,9 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 def partitions_of(df: DataFrame) -> int:
     """How many partitions the scan of df has: a measure of its size that grows with it."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,19 +7,21 @@ bucket's least remaining hash is kept as its count of leading zeros and
 takes the value of the first filled one in an order of its own.  Nodes that
 agree on a band's registers share a bucket.
 
-Links are found in rounds, without writing out the pairs of a bucket:
-
-1. each node is paired with the least node of its buckets (one pair a node);
-2. in buckets whose nodes are in more than one component by then, each node is
-   paired with the most similar one of each other component;
-3. in buckets that are still mixed, every pair across components is taken.
-
-Pairs inside a component can't change the result and are left out.  A pair goes
-on if its Jaccard estimate, corrected for registers that agree by chance, is not
-below ``least_estimate``; then both full sets are compared, and links are pairs
-of which 100 * intersection >= percent * union.  A node's sets meet its hub's in
-chunks of bounded size; buckets of many nodes are compared in blocks.
-Components come from large-star and small-star rounds over the links.
+Nodes that share buckets are candidates.  A shingle that no other candidate holds
+can't be in an intersection: with s as the lesser number of the shingles that
+are not alone, 7 * s >= 3 * (n + m) holds for every pair of Jaccard 3/4 (and so
+on for other limits).  This exact bound, and a Jaccard estimate corrected for
+registers that agree by chance, thin out the pairs; what is left is compared by
+full sets, and links are pairs of which 100 * intersection >= percent * union.
+
+Pairs of a bucket are never written out whole.  In two rounds each node is
+paired with the most similar node of another component that it meets in a block
+of its buckets' nodes, one pair a node; blocks are of bounded size, and dealt
+anew in the second round.  A last round takes every pair across components that
+passes both tests, block against block, in buckets that are still mixed.  Pairs
+inside a component can't change the result and are left out.  A node's sets meet
+its hub's in chunks of bounded size.  Components come from large-star and
+small-star rounds over the components so far and the new links.
 
 A link at the very threshold shares no bucket with a chance of about
 (1 - 0.75**4)**36 = 1e-6, less for closer ones.
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches, through_table
+from veil.llm._shared import bounded_batches, release, through_table
 from veil.llm._text import LOWER, batches, mix, prefix_hash, span_hash, sums, words
 
 
@@ -182,57 +184,60 @@ def _matrix(column: pa.Array, near: Near) -> np.ndarray:
     return np.frombuffer(b"".join(whole.to_pylist()), "<u2").reshape(-1, near.registers)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
-    """Pairs (hub, node) whose corrected estimate is high enough."""
-    one = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("registers").alias("hub_registers"))
-    both = pairs.join(nodes.select("node", "n", "registers"), "node").join(one, "hub")
-
-    def weigh(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                j = estimate(_matrix(part["registers"], near), _matrix(part["hub_registers"], near), part["n"].to_numpy(), part["hub_n"].to_numpy(), near)
-                yield pa.RecordBatch.from_arrays([part["hub"], part["node"]], names=["hub", "node"]).filter(pa.array(j >= near.least_estimate))
-
-    return both.mapInArrow(weigh, "hub long, node long")
-
-
-def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, near: Near, key: str, text: str) -> DataFrame:
-    """The pairs (hub, node) that are links by their full sets."""
-    spark = docs.sparkSession
-    counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / near.chunk).alias("chunks"))
-    dealt = through_table(spark, pairs.join(counts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "pairs")
-    roles = dealt.select(F.col("node"), "hub", "chunk", F.lit(1).alias("side")).unionAll(dealt.select(F.col("hub").alias("node"), "hub", "chunk", F.lit(0).alias("side")).distinct())
+def candidate_sets(docs: DataFrame, nodes: DataFrame, near: Near, key: str, text: str) -> DataFrame:
+    """(node, members): the full sets of some nodes, from their documents' whole texts."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    wanted = roles.join(nodes.select("node", "doc_id"), "node")
-    rows = texts.join(wanted, "doc_id").select("text", "node", "hub", "chunk", "side")
+    rows = texts.join(nodes.select("node", "doc_id"), "doc_id").select("text", "node")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for a, b, data, offsets in batches(part.column(0), 1 << 20):
                 owner, got = shingles(data, offsets, near.shingle)
                 own = nodes_of(owner, got, b - a) == part.column(1).slice(a, b - a).to_numpy()  # a key may have other texts too
-                size = np.bincount(owner, minlength=b - a) * 8
-                out = [*(part.column(i).slice(a, b - a) for i in range(1, 5)), _binary(got.astype("<u8").tobytes(), size)]
-                yield pa.RecordBatch.from_arrays(out, names=["node", "hub", "chunk", "side", "members"]).filter(pa.array(own))
+                out = [part.column(1).slice(a, b - a), _binary(got.astype("<u8").tobytes(), np.bincount(owner, minlength=b - a) * 8)]
+                yield pa.RecordBatch.from_arrays(out, names=["node", "members"]).filter(pa.array(own))
+
+    return rows.mapInArrow(sets, "node long, members binary").dropDuplicates(["node"])
+
 
-    schema = "node long, hub long, chunk long, side int, members binary"
-    met = rows.mapInArrow(sets, schema).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "side", "node")
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """(node, lone): how many shingles of a node no other node holds."""
+
+    def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, 64):
+                some = part.slice(at, 64)
+                own = [np.frombuffer(blob.as_buffer(), "<i8") for blob in some["members"]]
+                node = np.repeat(some["node"].to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node)], names=["shingle", "node"])
+
+    once = sets.mapInArrow(spread, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The pairs (hub, node) that are links by their full sets."""
+    spark = pairs.sparkSession
+    pairs = through_table(spark, pairs, "pairs")
+    counts = through_table(spark, pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / near.chunk).alias("chunks")), "hubs")
+    dealt = through_table(spark, pairs.join(counts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "chunks")
+    roles = dealt.select("node", "hub", "chunk", F.lit(1).alias("side")).unionAll(dealt.select("hub", "chunk").distinct().select(F.col("hub").alias("node"), "hub", "chunk", F.lit(0).alias("side")))
+    met = roles.join(sets, "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "side", "node")
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, have, done = None, np.zeros(0, np.uint64), None
+        hub, have = None, np.zeros(0, np.uint64)
         for part in parts:
             found: tuple[list[int], list[int]] = ([], [])
             for node, h, side, blob in zip(part["node"].to_pylist(), part["hub"].to_pylist(), part["side"].to_pylist(), part["members"], strict=True):
                 own = np.frombuffer(blob.as_buffer(), "<u8")
                 if side == 0:
-                    hub, have, done = h, own.copy(), None
-                elif h == hub and node != done:
+                    hub, have = h, own.copy()
+                elif h == hub:
                     at = np.minimum(np.searchsorted(have, own), len(have) - 1)
                     both = int((have[at] == own).sum())
                     if 100 * both >= near.percent * (len(have) + len(own) - both):
                         found[0].append(h)
                         found[1].append(node)
-                    done = node
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["hub", "node"])
 
     return met.mapInArrow(check, "hub long, node long")
@@ -259,60 +264,70 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select("b", F.col("b").alias("component")).distinct())
 
 
-def mixed_pairs(buckets: DataFrame, nodes: DataFrame, known: DataFrame, near: Near, best: bool) -> DataFrame:
-    """Likely pairs across components inside buckets: for each node the best of each other component, or all."""
-    placed = buckets.join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+def possible(shared_a: np.ndarray, shared_b: np.ndarray, n: np.ndarray, m: np.ndarray, near: Near) -> np.ndarray:
+    """Whether an intersection of the lesser number of shared shingles could make a link."""
+    return (100 + near.percent) * np.minimum(shared_a, shared_b) >= near.percent * (n + m)
+
+
+def mixed_pairs(buckets: DataFrame, live: DataFrame, known: DataFrame, near: Near, salt: int | None) -> DataFrame:
+    """Likely pairs (hub, node) across components inside buckets.
+
+    With a salt: for each node its most similar one in its blocks, which the salt deals.  Without: every pair, block against block.
+    """
+    spark = buckets.sparkSession
+    placed = through_table(spark, buckets.join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / near.block).alias("blocks")).where("low <> high")
-    rows = placed.join(mixed.select("bucket", "blocks"), "bucket").join(nodes.select("node", "n", "registers"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = rows.select("bucket", "i", "j", "own", "node", "component", "n", "registers").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, component, n, own = (table[c].to_numpy() for c in ("node", "component", "n", "own"))
+    mixed = through_table(spark, mixed.select("bucket", "blocks"), "mixed")
+    rows = placed.join(mixed, "bucket").join(live, "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(salt or 0)), F.col("blocks")))
+    if salt is None:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    else:
+        rows = rows.withColumn("i", F.col("own")).withColumn("j", F.col("own"))
+    dealt = rows.select("bucket", "i", "j", "own", "node", "component", "n", "shared", "registers").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compare(table: pa.Table) -> list[np.ndarray]:
+        node, component, n, shared, own = (table[c].to_numpy() for c in ("node", "component", "n", "shared", "own"))
         raw = _matrix(table["registers"], near)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out = []
         for x in left:
-            y = right[component[right] != component[x]]
-            y = y[y > x] if i == j and not best else y
+            y = right[(component[right] != component[x]) & possible(shared[right], shared[x], n[right], n[x], near)]
+            y = y[y > x] if i == j and salt is None else y
             if len(y):
                 e = estimate(raw[y], raw[x], n[y], n[x], near)
-                y, e = y[e >= near.least_estimate], e[e >= near.least_estimate]
-                if best and len(y):
-                    order = np.lexsort((-e, component[y]))
-                    y = y[order[np.unique(component[y][order], return_index=True)[1]]]
-                out.append(np.stack([np.full(len(y), node[x]), node[y]]))
-        got = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return got.min(0), got.max(0)
+                if salt is not None:
+                    y, e = y[[e.argmax()]], e[[e.argmax()]]
+                ok = e >= near.least_estimate
+                out.append((np.full(ok.sum(), node[x]), node[y[ok]], e[ok]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
 
     def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                a, b = compare(pa.concat_tables(held).combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["hub", "node"])
-                held.clear()
+            if held and (got := compare(pa.Table.from_batches(held).combine_chunks())):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["one", "other", "estimate"])
+            held.clear()
 
         last = None
         for part in parts:
-            keys = list(zip(*(part[c].to_pylist() for c in ("bucket", "i", "j")), strict=True))
-            at = 0
-            while at < len(keys):
-                end = at
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != last:
+            if not part.num_rows:
+                continue
+            keys = np.stack([part[c].to_numpy() for c in ("bucket", "i", "j")])
+            edge = np.append(np.flatnonzero((np.diff(keys, prepend=keys[:, :1] - 1) != 0).any(0)), part.num_rows)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if tuple(keys[:, a]) != last:
                     yield from flush()
-                    last = keys[at]
-                held.append(pa.Table.from_batches([part.slice(at, end - at)]))
-                at = end
+                    last = tuple(keys[:, a])
+                held.append(part.slice(a, b - a))
         yield from flush()
 
-    return dealt.mapInArrow(pairs, "hub long, node long").distinct()
+    found = dealt.mapInArrow(pairs, "one long, other long, estimate double")
+    if salt is not None:
+        found = found.groupBy("one").agg(F.max(F.struct("estimate", "other")).alias("best")).select("one", F.col("best.other").alias("other"))
+    return found.select(F.least("one", "other").alias("hub"), F.greatest("one", "other").alias("node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, near: Near | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -329,20 +344,26 @@ def near_duplicates(docs: DataFrame, near: Near | None = None, *, key: str = "do
                 key_ = band_keys(_matrix(part["registers"], near), near)
                 yield pa.RecordBatch.from_arrays([pa.array(key_.ravel()), pa.array(np.repeat(part["node"].to_numpy(), near.bands))], names=["bucket", "node"])
 
-    every = through_table(spark, nodes.select("node", "registers").mapInArrow(bands, "bucket long, node long"), "bands")
-    shared = every.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub <> high")
-    buckets = through_table(spark, every.join(shared.select("bucket", "hub"), "bucket"), "buckets")
-    pairs = buckets.where("hub <> node").groupBy("node").agg(F.min("hub").alias("hub"))
-    check = lambda p: through_table(spark, linked(p, docs, nodes, near, key, text), "links")
-    links = check(likely(pairs, nodes, near))
-    known = components(links)
-    members = buckets.select("bucket", "node")
-    for best in (True, False):
-        found = through_table(spark, mixed_pairs(members, nodes, known, near, best), "mixed")
-        if found.isEmpty():
-            break
-        links = through_table(spark, links.unionAll(check(found)), "links")
-        known = components(links)
+    def in_use(members: DataFrame) -> DataFrame:
+        """Buckets of two nodes or more."""
+        more = through_table(spark, members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"), "shared")
+        return through_table(spark, members.join(more, "bucket"), "buckets")
+
+    buckets = in_use(through_table(spark, nodes.select("node", "registers").mapInArrow(bands, "bucket long, node long"), "bands"))
+    candidates = through_table(spark, nodes.join(buckets.select("node").distinct(), "node"), "candidates")
+    sets = through_table(spark, candidate_sets(docs, candidates, near, key, text), "sets")
+    alone = lone_shingles(sets)
+    live = candidates.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"), "registers")
+    live = through_table(spark, live.where(F.lit(100) * F.col("shared") >= F.lit(near.percent) * F.col("n")), "live")
+    buckets = in_use(buckets.join(live.select("node"), "node"))
+    release(spark)
+    known = spark.createDataFrame([], "node long, component long")
+    for salt in (0, 1, None):
+        found = through_table(spark, mixed_pairs(buckets, live, known, near, salt), "mixed")
+        if not found.isEmpty():
+            links = linked(found, sets, near)
+            known = components(links.unionAll(known.where("node <> component").select(F.col("component").alias("hub"), "node")))
+        release(spark)
     whole = nodes.join(known, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named_ = whole.join(least, "component").select("node", "component_id")

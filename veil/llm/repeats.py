@@ -32,7 +32,6 @@ rows; columns that the caller carries may have any name but the result's own.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -40,10 +39,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches, through_table
+from veil.llm._shared import bounded_batches, release, through_table
 from veil.llm._text import batches, mix, powers, prefix_hash, span_hash
 from veil.llm._text import _INVERSE as INVERSE
 
@@ -140,12 +139,6 @@ def repeated_windows(group: np.ndarray, before: np.ndarray, size: np.ndarray, bo
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and end column of the runs of a matrix of flags."""
     wide = np.zeros((hit.shape[0], hit.shape[1] + 2), np.int8)
