@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veil.errors import PolicyError
 from veil.functions.strategies import hashed, masked, partial_email, truncated
-from veil.plans.nested import apply_nested, get_nested, matches, set_nested
+from veil.plans.nested import apply_nested, get_nested, matches, rewrite_json_text, set_nested
 from veil.plans.policy import Policy, merge, validate
 
 
@@ -99,3 +99,11 @@ def test_get_and_set_nested(spark):
     df = spark.createDataFrame([((1,),)], "a struct<b: int>")
     out = set_nested(set_nested(df, "a.c.d", F.lit("x")), "n.m", F.lit(2))
     assert out.select(get_nested("a.c.d"), get_nested("a.b"), get_nested("n.m")).first()[:] == ("x", 1, 2)
+
+
+def test_json_texts_of_any_shape(column):
+    texts = ['{"users": [{"name": "Ann"}, {"name": null, "x": 1}], "n": 1.5}', '{"users": {"a": {"name": 7}}}', "no json", None]
+    got = column(texts, lambda c: rewrite_json_text(c, {"users.*.name": {"strategy": "mask", "preserve_last": 1}}))
+    assert got == ['{"users": [{"name": "**n"}, {"name": null, "x": 1}], "n": 1.5}', '{"users": {"a": {"name": "*"}}}', "no json", None]
+    made = column(['{"a": "Ann"}'], lambda c: rewrite_json_text(c, {"a": {"strategy": "replace"}}))[0]
+    assert made.startswith('{"a": "anon_')

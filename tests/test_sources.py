@@ -101,7 +101,10 @@ def test_jdbc(spark, tmp_path):
     assert got.rdd.getNumPartitions() == 3 and got.count() == 20
     assert databases.columns_of(spark, url, "PEOPLE")[0][:2] == ("ID", "int")
     changed = databases.changed_rows(got, Policy.of({"NAME": {"strategy": "mask", "preserve_last": 9}}), ["ID"])
-    assert changed.count() == 20
+    assert databases.update_by_key(spark, url, "PEOPLE", changed.where("ID < 10"), ["ID"]) == 10
+    rows = {r["ID"]: r["NAME"] for r in databases.read_table(spark, url, "PEOPLE").collect()}
+    assert rows[3] == "**" and rows[13] == "n13" and databases.tables_of(spark, url) == ["PEOPLE"]
+    assert databases.execute(spark, url, "DELETE FROM PEOPLE WHERE ID > 15") == [4]
 
 
 def test_stream_resumes(spark, tmp_path):

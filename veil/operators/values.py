@@ -96,7 +96,7 @@ def normalized(name: str) -> str:
 
 @dataclass(frozen=True)
 class Keywords:
-    """Words in column names for the heuristic detector, by category; and its thresholds."""
+    """Words in column names for the heuristic detector, by category, and its thresholds (fixed values)."""
 
     words: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {
@@ -120,7 +120,7 @@ class Keywords:
         return 0.0 if first is None else 0.9 if first == plain else 0.7
 
 
-#: Parts of column names, in order, with the type that they tell.
+#: Parts of column names, in order, with the type that they tell.
 TYPE_PARTS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("identifier", ("id", "uuid", "guid")),
     ("name", ("name", "first", "last")),

@@ -8,9 +8,12 @@ array item.  mode="fnmatch" lets ``*`` cross dots.
 from __future__ import annotations
 
 import fnmatch
+import hashlib
+import json
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -96,3 +99,47 @@ def set_nested(df: DataFrame, path: str, value: Column) -> DataFrame:
 
     own = head in df.columns
     return df.withColumn(head, put(df.schema[head].dataType if own else None, F.col(f"`{head}`") if own else None, rest))
+
+
+def rewrite_json_text(text: Column, policy: Policy | dict[str, Any], mode: str = "segments") -> Column:
+    """Policy paths inside JSON texts of any shape, row by row in Arrow batches: for documents that share no schema.
+
+    Replacements are ``anon_`` values, the same as those of the column form; texts that aren't JSON stay.
+    """
+    policy = policy if isinstance(policy, Policy) else Policy.of(policy, domain="value")
+    rules = {p: (r.strategy, dict(r.options)) for p, r in policy.rules.items()}
+    seed = policy.seed
+
+    def one(value: Any, strategy: str, o: dict[str, Any]) -> Any:
+        if value is None or value == "" or strategy == "remove":
+            return value if value == "" else None
+        body = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
+        if strategy == "hash":
+            return hashlib.new(o.get("algorithm", "sha256"), (f"{o['salt']}:{body}" if o.get("salt") else body).encode()).hexdigest()
+        if strategy == "mask":
+            keep, char = o.get("preserve_last", 4), o.get("mask_char", "*")
+            return char * len(body) if len(body) <= keep else char * (len(body) - keep) + (body[-keep:] if keep else "")
+        if strategy == "replace":
+            return f"anon_{int(hashlib.md5(f'{seed}|value|0|{body}'.encode()).hexdigest()[:13], 16) % 9000 + 1000}"
+        return value
+
+    def walk(value: Any, path: str) -> Any:
+        rule = rules.get(path) or next((r for p, r in rules.items() if path and matches(path, p, mode)), None)
+        if rule:
+            return one(value, *rule)
+        if isinstance(value, dict):
+            return {k: walk(v, f"{path}.{k}" if path else k) for k, v in value.items()}
+        return [walk(v, f"{path}.*" if path else "*") for v in value] if isinstance(value, list) else value
+
+    def rewrite(body: str | None) -> str | None:
+        try:
+            return None if body is None else json.dumps(walk(json.loads(body), ""), ensure_ascii=False)
+        except ValueError:
+            return body
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(rewrite, na_action=None)
+
+    return run(text)

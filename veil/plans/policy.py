@@ -30,11 +30,11 @@ def validate(config: Any) -> list[str]:
     out = []
     for name, rule in config.items():
         if not isinstance(rule, Mapping):
-            out.append(f"Field '{name}': settings must be a dictionary")
+            out.append(f"{name}: a rule must be a dictionary")
         elif not rule.get("strategy"):
-            out.append(f"Field '{name}': 'strategy' is required")
+            out.append(f"{name}: the rule names no strategy")
         elif rule["strategy"] not in known:
-            out.append(f"Field '{name}': invalid strategy '{rule['strategy']}'. Must be one of: {sorted(known)}")
+            out.append(f"{name}: no strategy {rule['strategy']!r}; there are {', '.join(sorted(known))}")
     return out
 
 

@@ -111,6 +111,57 @@ def changed_rows(before: DataFrame, policy: Policy, key: Sequence[str]) -> DataF
     return before.where(changed).select(*key, *(c.alias(n) for n, c in made.items()))
 
 
+def _jdbc(spark: SparkSession, url: str):
+    form, o = connection(url)
+    if form != "jdbc":
+        raise UnsupportedFormatError(f"{masked_url(url)} isn't a JDBC database")
+    if "driver" in o:
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(o["driver"])
+    manager = spark._jvm.java.sql.DriverManager
+    return manager.getConnection(o["url"], o["user"], o.get("password", "")) if "user" in o else manager.getConnection(o["url"])
+
+
+def execute(spark: SparkSession, url: str, *statements: str) -> list[int]:
+    """Runs statements in one transaction on the driver (maintenance, updates from a staged table); rows changed by each."""
+    db = _jdbc(spark, url)
+    try:
+        db.setAutoCommit(False)
+        made = db.createStatement()
+        out = [made.executeUpdate(s) for s in statements]
+        db.commit()
+        return out
+    except Exception:
+        db.rollback()
+        raise
+    finally:
+        db.close()
+
+
+def tables_of(spark: SparkSession, url: str, schema: str | None = None) -> list[str]:
+    if connection(url)[0] == "veil_sqlite":
+        return sqlite_tables(connection(url)[1]["path"])
+    db = _jdbc(spark, url)
+    try:
+        kinds = spark._sc._gateway.new_array(spark._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        rows, out = db.getMetaData().getTables(None, schema, "%", kinds), []
+        while rows.next():
+            out.append(rows.getString("TABLE_NAME"))
+        return sorted(out)
+    finally:
+        db.close()
+
+
+def update_by_key(spark: SparkSession, url: str, table: str, changed: DataFrame, key: Sequence[str]) -> int:
+    """Writes changed rows (see ``changed_rows``) beside the table, and takes them over by the whole key in one statement."""
+    staged = f"{table}_VEIL_NEW"
+    write_table(changed, url, staged, mode="overwrite")
+    same = " AND ".join(f"s.{quoted(k)} = {quoted(table)}.{quoted(k)}" for k in key)
+    sets = ", ".join(f"{quoted(c)} = (SELECT s.{quoted(c)} FROM {quoted(staged)} s WHERE {same})" for c in changed.columns if c not in key)
+    n, _ = execute(spark, url, f"UPDATE {quoted(table)} SET {sets} WHERE EXISTS (SELECT 1 FROM {quoted(staged)} s WHERE {same})", f"DROP TABLE {quoted(staged)}")
+    return n
+
+
 def anonymize_tables(spark: SparkSession, source: str, target: str, policies: Mapping[str, Policy | Mapping[str, Any]], *, mode: str = "overwrite", **options: Any) -> dict[str, list[str]]:
     """Each table read, rewritten and written to the target; returns the rewritten columns by table."""
     out = {}
