@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +50,3 @@ def anonymize(data: DataFrame | str, output: str | None = None, strategy: str =
 def preview(data: DataFrame | str, rows: int = 5, strategy: str = "replace", *, spark: SparkSession | None = None, **options: Any) -> list[dict[str, Any]]:
     df = read(spark or SparkSession.getActiveSession(), data) if isinstance(data, str) else data
     return preview_rows(df, plan(detect_pii(data, spark), strategy, **options), rows)
-
-
-def with_seed(policy: Policy, seed: object) -> Policy:
-    return replace(policy, seed=seed)

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from veil import api
 from veil.errors import VeilError, format_error
 from veil.plans.policy import STRATEGIES, Policy, validate
-from veil.sources.files import anonymize_file, file_type, read, split_extension
+from veil.sources.files import anonymize_file, file_type, split_extension
 
 COMMANDS = ("detect", "preview", "config", "anonymize", "wizard")
 
@@ -108,7 +108,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
 
 
-__all__ = ["main", "read", "wizard"]
-
 if __name__ == "__main__":
     sys.exit(main())

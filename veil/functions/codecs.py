@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -368,8 +367,5 @@ def register_codec(kind: str, made: type[Codec]) -> None:
     _codecs[kind.lower()] = made
 
 
-@dataclass(frozen=True)
-class SimpleCodecs:
-    """The plain family by type, for callers that look codecs up."""
-
-    by_type = {"email": email_simple, "phone": phone_simple, "ssn": ssn_simple, "credit_card": card_simple}
+#: The plain family by type.
+SIMPLE: dict[str, Callable[..., Column]] = {"email": email_simple, "phone": phone_simple, "ssn": ssn_simple, "credit_card": card_simple}

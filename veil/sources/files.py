@@ -254,7 +254,3 @@ def split_extension(path: str, insert: str) -> str:
     """x.csv to x.<insert>.csv."""
     head, dot, tail = path.rpartition(".")
     return f"{head}.{insert}.{tail}" if dot else f"{path}.{insert}"
-
-
-def with_options(options: FormatOptions, **more: Any) -> FormatOptions:
-    return replace(options, **more)
