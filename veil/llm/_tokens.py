@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from veil.llm._text import prefix_hash, span_hash, sums, text_of, words
+from veil.llm._text import prefix_hash, span_hash, sums, words
 
 # The pre-token patterns that the two tokenizer files state.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,6 +147,3 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     inside[edge[1:] - 1] = False
     out[inside] = ids
     return out, edge
-
-
-__all__ = ["SpanTokenizer", "text_of", "tokenizer", "with_end"]

@@ -2,13 +2,14 @@
 
 A word is the bag of its character n-grams, with marks at both ends, and the
 word as a whole; each has a row of an embedding table by hash.  A document is
-the average of the rows of its distinct words' bags, and a linear softmax over
-two classes reads it.  Embeddings and softmax are trained together in numpy by
+the average of the rows of its distinct words' bags (short ones padded with zero
+vectors, very long ones divided by no more than a bound), and a linear softmax
+over two classes reads it.  Embeddings and softmax are trained together in numpy by
 mini-batches with Adagrad.  A misspelling that was never seen shares most of its
 n-grams, and so its vectors, with the word that was.
 
 Since the softmax is linear, a trained model is one number for each table row:
-a document's logit is the mean of its bags' numbers plus a bias.  Workers keep
+a document's logit is that mean of its bags' numbers plus a bias.  Workers keep
 the sums of the words that they have met.
 
 Training reads a bounded sample of labelled rows (``Fit.toxic_rows`` and
@@ -44,18 +45,21 @@ class Fit:
     toxic_rows: int = 2000
     clean_rows: int = 4000
     #: Distinct words of a sampled document that training reads (the least by hash); scoring reads all.
-    words_a_row: int = 1000
+    words_a_row: int = 1500
     rows: int = 1 << 16
     width: int = 4
+    #: A bag is averaged over its rows, but over no fewer and no more than these: short texts are padded with zero vectors, and long ones aren't thinned out.
+    least_rows: int = 1000
+    most_rows: int = 8000
     least: int = 3
     most: int = 6
     #: Mini-batches in all; small samples are passed over more often.
     steps: int = 1500
     batch: int = 32
-    rate: float = 1.0
+    rate: float = 2.0
     seed: int = 11
     #: What a toxic row counts, beyond its class's share.
-    toxic_weight: float = 2.0
+    toxic_weight: float = 4.0
 
 
 def bags(data: np.ndarray, start: np.ndarray, end: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +107,7 @@ class Model:
     bias: float
 
     def score(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(total / np.clip(n, self.fit.least_rows, self.fit.most_rows) + self.bias, -50, 50)))
 
 
 def train(documents: list[tuple[np.ndarray, int, float]], fit: Fit) -> Model:
@@ -130,13 +134,14 @@ def train(documents: list[tuple[np.ndarray, int, float]], fit: Fit) -> Model:
             rows = np.concatenate([documents[i][0] for i in chosen])
             size = np.array([len(documents[i][0]) for i in chosen])
             begin = np.cumsum(size) - size
-            mean = np.stack([np.add.reduceat(one[rows], begin) for one in table], 1) / size[:, None]
+            over = np.clip(size, fit.least_rows, fit.most_rows)
+            mean = np.stack([np.add.reduceat(one[rows], begin) for one in table], 1) / over[:, None]
             logit = mean @ softmax + bias
             chance = np.exp(logit - logit.max(1, keepdims=True))
             chance /= chance.sum(1, keepdims=True)
             chance[np.arange(len(chosen)), labels[chosen]] -= 1
             error = chance * scale[chosen][:, None]
-            back = (error @ softmax.T / size[:, None]).astype(np.float32)
+            back = (error @ softmax.T / over[:, None]).astype(np.float32)
             up = np.stack([np.bincount(rows, np.repeat(back[:, j], size), fit.rows) for j in range(fit.width)])
             up_softmax, up_bias = mean.T @ error, error.sum(0)
             seen_softmax += up_softmax**2
