@@ -25,6 +25,7 @@ key and the text of documents are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -180,10 +181,11 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit | None
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
     table = chosen.mapInArrow(read, "doc_id long, label int, rows binary").toArrow()
-    ids, label_, blob = (table.column(i).to_pylist() for i in range(3))
+    ids, label_ = (table.column(i).to_pylist() for i in range(2))
+    bags_ = [np.frombuffer(v.as_buffer(), "<i4") for v in table.column(2)]  # views of the table's own buffers
     taken = {y: sum(1 for x in label_ if x == y) for y in (0, 1)}
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], blob[i]))
-    return train([(np.frombuffer(blob[i], "<i4"), label_[i], counts[label_[i]] / taken[label_[i]] * (fit.toxic_weight if label_[i] else 1.0)) for i in order], fit)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(bags_[i]), zlib.crc32(bags_[i])))
+    return train([(bags_[i], label_[i], counts[label_[i]] / taken[label_[i]] * (fit.toxic_weight if label_[i] else 1.0)) for i in order], fit)
 
 
 def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
