@@ -103,6 +103,24 @@ def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
 
 
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d)),
+twice AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM w SEMI JOIN twice USING (s)),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM starts)),
+spans AS (SELECT doc_id, min(i) AS low, max(i) + 200 AS high FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS after FROM spans),
+cut AS (
+  SELECT doc_id, sum(high - low) AS gone, count(*) AS n_spans, max(high) AS last, string_agg(substr(h, CAST(2 * after + 1 AS BIGINT), CAST(2 * (low - after) AS BIGINT)), '' ORDER BY low) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veil.llm.pieces import decode, encode
 
@@ -114,7 +132,30 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veil.llm.repetition import quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def _windows(n: int) -> str:
+    """Words of a text that lie in n-word windows found twice or more in it, by document."""
+    return f"""(SELECT doc_id, count(DISTINCT p) AS c FROM (
+      SELECT doc_id, unnest(range(i, i + {n})) AS p FROM (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS times FROM (
+          SELECT doc_id, i, array_to_string(words[i:i + {n - 1}], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - {n - 2})) AS i FROM w))) WHERE times > 1) GROUP BY doc_id)"""
+
+
+#: The longest repeat is over 50 words if some 51-word window is found twice.
+OP8_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+m AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(a.c, 0) AS n_repeat_words, coalesce(b.c, 0) AS covered_words, coalesce(l.c, 0) AS long_words
+  FROM w LEFT JOIN {_windows(3)} a USING (doc_id) LEFT JOIN {_windows(6)} b USING (doc_id) LEFT JOIN {_windows(51)} l USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed, NOT base_failed AND 100 * covered_words <= 40 * n_words AND long_words = 0 AS kept FROM f
+"""
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,4 +191,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_token_store, op3_best_fit_packing, op4_exact_top_k, op5_reshard, op6_repeat_removal, op7_sampled_pieces, op8_quality_rules, op9_near_duplicates, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op6_repeat_removal": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_near_duplicates": OP9_SQL}
