@@ -26,8 +26,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*")
 LATIN = regex.compile(r"[ ]?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
-KEPT_SPANS = 1_500_000
-KEPT_PRETOKENS = 400_000
+KEPT_SPANS = 800_000
+KEPT_PRETOKENS = 200_000
 
 
 def byte_alphabet() -> dict[int, str]:
