@@ -14,11 +14,12 @@ on for other limits).  This exact bound, and a Jaccard estimate corrected for
 registers that agree by chance, thin out the pairs; what is left is compared by
 full sets, and links are pairs of which 100 * intersection >= percent * union.
 
-Pairs of a bucket are never written out whole.  In two rounds each node is
-paired with the most similar node of another component that it meets in a block
-of its buckets' nodes, one pair a node; blocks are of bounded size, and dealt
-anew in the second round.  A last round takes every pair across components that
-passes both tests, block against block, in buckets that are still mixed.  Pairs
+Pairs of a bucket are never written out whole.  In two rounds, each over a third
+of the bands, a node is paired with the most similar node of another component
+that it meets in a block of its buckets' nodes, one pair a node; blocks are of
+bounded size.  A last round, over all bands, takes every pair across components
+that passes both tests, block against block, in buckets that are still mixed;
+it takes a pair in the first of the buckets that the two share.  Pairs
 inside a component can't change the result and are left out.  A node's sets meet
 its hub's in chunks of bounded size.  Components come from large-star and
 small-star rounds over the components so far and the new links.
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,10 +118,16 @@ def registers(owner: np.ndarray, got: np.ndarray, n: int, near: Near) -> np.ndar
     return out
 
 
+@cache
+def _orders(registers: int, columns: int) -> np.ndarray:
+    """For each column the order in which an empty register looks for a filled one."""
+    return np.stack([np.random.Generator(np.random.PCG64(7_000 + i)).permutation(registers) for i in range(columns)])
+
+
 def filled(raw: np.ndarray, near: Near) -> np.ndarray:
     """Registers with empty ones filled from others of the same row; rows without any stay empty."""
     out, k = raw.copy(), near.registers
-    orders = np.stack([np.random.Generator(np.random.PCG64(7_000 + i)).permutation(k) for i in range(near.bands * near.band)])
+    orders = _orders(k, near.bands * near.band)
     row, column = np.nonzero((raw[:, : near.bands * near.band] == 0) & raw.any(1)[:, None])
     for step in range(k):
         if not len(row):
@@ -272,10 +280,13 @@ def possible(shared_a: np.ndarray, shared_b: np.ndarray, n: np.ndarray, m: np.nd
 def mixed_pairs(buckets: DataFrame, live: DataFrame, known: DataFrame, near: Near, salt: int | None) -> DataFrame:
     """Likely pairs (hub, node) across components inside buckets.
 
-    With a salt: for each node its most similar one in its blocks, which the salt deals.  Without: every pair, block against block.
+    With a salt, 0 or 1: over a third of the bands, for each node its most similar one in its blocks, which the salt deals.
+    Without: over all bands, every pair, block against block.
     """
-    spark = buckets.sparkSession
-    placed = through_table(spark, buckets.join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
+    spark, third = buckets.sparkSession, -(-near.bands // 3)
+    if salt is not None:
+        buckets = buckets.where(F.col("band").between(salt * third, salt * third + third - 1))
+    placed = through_table(spark, buckets.join(known, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / near.block).alias("blocks")).where("low <> high")
     mixed = through_table(spark, mixed.select("bucket", "blocks"), "mixed")
     rows = placed.join(mixed, "bucket").join(live, "node")
@@ -284,13 +295,14 @@ def mixed_pairs(buckets: DataFrame, live: DataFrame, known: DataFrame, near: Nea
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     else:
         rows = rows.withColumn("i", F.col("own")).withColumn("j", F.col("own"))
-    dealt = rows.select("bucket", "i", "j", "own", "node", "component", "n", "shared", "registers").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = rows.select("bucket", "band", "i", "j", "own", "node", "component", "n", "shared", "registers").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(table: pa.Table) -> list[np.ndarray]:
         node, component, n, shared, own = (table[c].to_numpy() for c in ("node", "component", "n", "shared", "own"))
         raw = _matrix(table["registers"], near)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        keys, band = band_keys(raw, near) if salt is None else None, table["band"][0].as_py()
         out = []
         for x in left:
             y = right[(component[right] != component[x]) & possible(shared[right], shared[x], n[right], n[x], near)]
@@ -300,6 +312,8 @@ def mixed_pairs(buckets: DataFrame, live: DataFrame, known: DataFrame, near: Nea
                 if salt is not None:
                     y, e = y[[e.argmax()]], e[[e.argmax()]]
                 ok = e >= near.least_estimate
+                if salt is None:
+                    ok[ok] = (keys[y[ok]] == keys[x]).argmax(1) == band
                 out.append((np.full(ok.sum(), node[x]), node[y[ok]], e[ok]))
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
 
@@ -342,14 +356,15 @@ def near_duplicates(docs: DataFrame, near: Near | None = None, *, key: str = "do
         for part in parts:
             if part.num_rows:
                 key_ = band_keys(_matrix(part["registers"], near), near)
-                yield pa.RecordBatch.from_arrays([pa.array(key_.ravel()), pa.array(np.repeat(part["node"].to_numpy(), near.bands))], names=["bucket", "node"])
+                band = np.tile(np.arange(near.bands, dtype=np.int16), len(key_))
+                yield pa.RecordBatch.from_arrays([pa.array(key_.ravel()), pa.array(band), pa.array(np.repeat(part["node"].to_numpy(), near.bands))], names=["bucket", "band", "node"])
 
     def in_use(members: DataFrame) -> DataFrame:
         """Buckets of two nodes or more."""
         more = through_table(spark, members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"), "shared")
         return through_table(spark, members.join(more, "bucket"), "buckets")
 
-    buckets = in_use(through_table(spark, nodes.select("node", "registers").mapInArrow(bands, "bucket long, node long"), "bands"))
+    buckets = in_use(through_table(spark, nodes.select("node", "registers").mapInArrow(bands, "bucket long, band short, node long"), "bands"))
     candidates = through_table(spark, nodes.join(buckets.select("node").distinct(), "node"), "candidates")
     sets = through_table(spark, candidate_sets(docs, candidates, near, key, text), "sets")
     alone = lone_shingles(sets)
