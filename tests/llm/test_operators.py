@@ -484,6 +484,25 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] < 1e-9 for r in toxicity.scored(docs, none).collect()} == {True}
 
 
+def test_training_has_its_steps_at_every_size(monkeypatch):
+    """The budget of mini-batches holds for small samples too (passes were bounded once)."""
+    fit, passes = toxicity.Fit(steps=120, rows=64), []
+    rng = np.random.default_rng
+    class Counted:
+        def __init__(self, seed):
+            self.inner = rng(seed)
+        def random(self, *a):
+            return self.inner.random(*a)
+        def permutation(self, n):
+            passes.append(n)
+            return self.inner.permutation(n)
+    monkeypatch.setattr(toxicity.np.random, "default_rng", Counted)
+    for n in (32, 64, 960):
+        passes.clear()
+        toxicity.train([(np.array([i % 64]), i % 2, 1.0) for i in range(n)], fit)
+        assert sum(math.ceil(x / fit.batch) for x in passes) == fit.steps
+
+
 def test_held_out(spark):
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", toxicity.held_out("id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}

@@ -54,9 +54,8 @@ class Fit:
     most_rows: int = 8000
     least: int = 3
     most: int = 6
-    #: Mini-batches in all; small samples are passed over more often, up to a bound.
+    #: Mini-batches in all, at every size; small samples are passed over more often.
     steps: int = 1500
-    most_epochs: int = 24
     batch: int = 32
     rate: float = 2.0
     seed: int = 11
@@ -125,7 +124,7 @@ def train(documents: list[tuple[np.ndarray, int, float]], fit: Fit) -> Model:
     bias = np.log([1 - share, share]).astype(np.float32)
     seen, seen_softmax, seen_bias = np.full(fit.rows, 1e-12, np.float32), np.full(softmax.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     scale = weights / weights.mean()
-    epochs = min(fit.most_epochs, max(1, round(fit.steps * fit.batch / len(documents))))
+    epochs = max(1, round(fit.steps * fit.batch / len(documents)))
     for epoch in range(epochs):
         rate = fit.rate * (1 - epoch / epochs)
         order = rng.permutation(len(documents))
