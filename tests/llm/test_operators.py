@@ -499,10 +499,29 @@ def test_training_has_its_steps_at_every_size(monkeypatch):
     monkeypatch.setattr(toxicity.np.random, "default_rng", Counted)
     for n in (32, 64, 960):
         passes.clear()
-        toxicity.train([(np.array([i % 64]), i % 2, 1.0) for i in range(n)], fit)
+        toxicity.train([(np.array([i % 64]), np.ones(1, np.int64), i % 2, 1.0) for i in range(n)], fit)
         assert sum(math.ceil(x / fit.batch) for x in passes) == fit.steps
 
 
+def test_training_reads_every_word(spark, monkeypatch):
+    """No word of a sampled document is left out, however many it has (1,000 words by hash were read once)."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda documents, fit: seen.extend(documents))
+    long = " ".join(f"word{i}" for i in range(40_000)) + " word1 Word2"
+    docs = spark.createDataFrame([(1, long), (2, "one two one"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    for fit in (toxicity.Fit(), toxicity.Fit(rows=300), toxicity.Fit(rows=200)):
+        seen.clear()
+        toxicity.trained(docs, labels, F.lit(True), fit)
+        for (rows, times, label, _), text in zip(seen, (long, "one two one", ""), strict=True):
+            want = Counter()
+            data = np.frombuffer(text.encode(), np.uint8)
+            start, end, _, _ = toxicity.distinct_words(data, np.array([0, len(data)]))
+            if len(start):
+                want.update(toxicity.bags(data, start, end, fit)[0].tolist())
+            assert dict(zip(rows.tolist(), times.tolist(), strict=True)) == want and label == (text is long)
+
+
 def test_held_out(spark):
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", toxicity.held_out("id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}

@@ -14,7 +14,8 @@ the sums of the words that they have met.
 
 Training reads a bounded sample of labelled rows (``Fit.toxic_rows`` and
 ``Fit.clean_rows`` of either class, the least by a hash of the key, weighted
-back to the classes' shares); scoring reads every document's whole text.
+back to the classes' shares), each with its whole text; scoring reads every
+document's whole text.
 
 Cases: null and empty texts have an empty bag and the bias alone as logit; a
 repeated key is scored row by row; of clashing labels for one key the greater
@@ -45,8 +46,6 @@ KEPT_WORDS = 2_000_000
 class Fit:
     toxic_rows: int = 2000
     clean_rows: int = 4000
-    #: Distinct words of a sampled document that training reads (the least by hash); scoring reads all.
-    words_a_row: int = 1000
     rows: int = 1 << 16
     width: int = 4
     #: A bag is averaged over its rows, but over no fewer and no more than these: short texts are padded with zero vectors, and long ones aren't thinned out.
@@ -100,6 +99,27 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return start[first], end[first], key[first], text[first]
 
 
+def _row_type(fit: Fit) -> np.dtype:
+    return np.min_scalar_type(fit.rows - 1)
+
+
+def counted(data: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """The table rows in the bag of one text's distinct words, all of them, and how often each is in it; both in the least type that holds them."""
+    total = np.zeros(fit.rows, np.int64)
+    start, end, _, _ = distinct_words(data, np.array([0, len(data)]))
+    for at in range(0, len(start), 1 << 15):
+        total += np.bincount(bags(data, start[at : at + (1 << 15)], end[at : at + (1 << 15)], fit)[0], minlength=fit.rows)
+    rows = np.flatnonzero(total)
+    times = total[rows]
+    return rows.astype(_row_type(fit)), times.astype(np.min_scalar_type(times.max(initial=0)))
+
+
+def uncounted(rows: pa.Buffer, times: pa.Buffer, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Views of what ``counted`` gave, from its bytes."""
+    kept = np.frombuffer(rows, _row_type(fit))
+    return kept, np.frombuffer(times, f"u{len(times) // len(kept) if len(kept) else 1}")
+
+
 @dataclass(frozen=True)
 class Model:
     fit: Fit
@@ -111,10 +131,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.clip(n, self.fit.least_rows, self.fit.most_rows) + self.bias, -50, 50)))
 
 
-def train(documents: list[tuple[np.ndarray, int, float]], fit: Fit) -> Model:
-    """From (rows of the bag, label, weight) of each document."""
-    labels = np.array([label for _, label, _ in documents], np.int64)
-    weights = np.array([w for _, _, w in documents], np.float64)
+def train(documents: list[tuple[np.ndarray, np.ndarray, int, float]], fit: Fit) -> Model:
+    """From (distinct rows of the bag, how often each is in it, label, weight) of each document."""
+    labels = np.array([label for _, _, label, _ in documents], np.int64)
+    weights = np.array([w for _, _, _, w in documents], np.float64)
+    bag_size = np.array([times.sum(dtype=np.int64) for _, times, _, _ in documents], np.int64)
     share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(fit, np.zeros(fit.rows), 50.0 if share else -50.0)
@@ -133,17 +154,18 @@ def train(documents: list[tuple[np.ndarray, int, float]], fit: Fit) -> Model:
             if not chosen:
                 continue
             rows = np.concatenate([documents[i][0] for i in chosen])
+            times = np.concatenate([documents[i][1] for i in chosen]).astype(np.float32)
             size = np.array([len(documents[i][0]) for i in chosen])
             begin = np.cumsum(size) - size
-            over = np.clip(size, fit.least_rows, fit.most_rows)
-            mean = np.stack([np.add.reduceat(one[rows], begin) for one in table], 1) / over[:, None]
+            over = np.clip(bag_size[chosen], fit.least_rows, fit.most_rows)
+            mean = np.stack([np.add.reduceat(one[rows] * times, begin) for one in table], 1) / over[:, None]
             logit = mean @ softmax + bias
             chance = np.exp(logit - logit.max(1, keepdims=True))
             chance /= chance.sum(1, keepdims=True)
             chance[np.arange(len(chosen)), labels[chosen]] -= 1
             error = chance * scale[chosen][:, None]
             back = (error @ softmax.T / over[:, None]).astype(np.float32)
-            up = np.stack([np.bincount(rows, np.repeat(back[:, j], size), fit.rows) for j in range(fit.width)])
+            up = np.stack([np.bincount(rows, np.repeat(back[:, j], size) * times, fit.rows) for j in range(fit.width)])
             up_softmax, up_bias = mean.T @ error, error.sum(0)
             seen_softmax += up_softmax**2
             seen_bias += up_bias**2
@@ -167,24 +189,18 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit | None
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for a, b, data, offsets in batches(batch.column(1), 1 << 20):
-                start, end, hashed, owner = distinct_words(data, offsets)
-                order = np.lexsort((hashed, owner))
-                first = np.searchsorted(owner[order], owner[order])
-                order = order[np.arange(len(order)) - first < fit.words_a_row]
-                got, n = bags(data, start[order], end[order], fit)
-                size = np.bincount(np.repeat(owner[order], n), minlength=b - a)
-                edge = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
-                blob = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(got.astype("<i4").tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), blob], names=["doc_id", "label", "rows"])
+            for a, b, data, offsets in batches(batch.column(1), 1 << 18):
+                pairs = [counted(data[i:j], fit) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                blobs = [pa.array([x[k].tobytes() for x in pairs], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *blobs], names=["doc_id", "label", "rows", "times"])
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
-    table = chosen.mapInArrow(read, "doc_id long, label int, rows binary").toArrow()
+    table = chosen.mapInArrow(read, "doc_id long, label int, rows binary, times binary").toArrow()
     ids, label_ = (table.column(i).to_pylist() for i in range(2))
-    bags_ = [np.frombuffer(v.as_buffer(), "<i4") for v in table.column(2)]  # views of the table's own buffers
+    bags_ = [uncounted(r.as_buffer(), t.as_buffer(), fit) for r, t in zip(table.column(2), table.column(3), strict=True)]  # views of the table's own buffers
     taken = {y: sum(1 for x in label_ if x == y) for y in (0, 1)}
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(bags_[i]), zlib.crc32(bags_[i])))
-    return train([(bags_[i], label_[i], counts[label_[i]] / taken[label_[i]] * (fit.toxic_weight if label_[i] else 1.0)) for i in order], fit)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(bags_[i][0]), zlib.crc32(bags_[i][1], zlib.crc32(bags_[i][0]))))
+    return train([(*bags_[i], label_[i], counts[label_[i]] / taken[label_[i]] * (fit.toxic_weight if label_[i] else 1.0)) for i in order], fit)
 
 
 def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
