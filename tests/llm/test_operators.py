@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veil.llm import chat, near_dups, packing, pieces, repeats, repetition, resharding, token_store, topk, toxicity
+from veil.llm import chat, near_dups, packing, pieces, queries, repeats, repetition, resharding, token_store, topk, toxicity
 from veil.llm._text import batches, prefix_hash, span_hash, words
 from veil.llm._tokens import SpanTokenizer
 from veil.llm.queries import tokenizer_path
@@ -254,6 +254,32 @@ def test_reshard(spark, docs, odd, empty, tmp_path):
     assert resharding.reshard(empty, F.lit(0), 4)[0].count() == 0
 
 
+def test_reshard_query_reads_rewritten_files(spark, docs, odd, empty, monkeypatch):
+    """The query's digests are those of the written shards (it was a plan alone once)."""
+    paths, write = [], resharding.rewrite
+
+    def recorded(placed, transfers, path):
+        paths.append((path, write(placed, transfers, path), resharding.affected(transfers)))
+        return paths[-1][1]
+
+    monkeypatch.setattr(resharding, "rewrite", recorded)
+    got = queries.op5_reshard(spark, SF)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got.collect()) == Counter((k, len(t.encode()) + 16, zlib.crc32(t.encode())) for k, t in texts(docs))
+    (path, new, _), = paths
+    files = spark.read.parquet(path)
+    assert {r["shard"] for r in files.select("shard").distinct().collect()} == set(new)
+    assert set(got.inputFiles()) >= set(files.inputFiles())
+    paths.clear()
+    rows = resharding.rewritten(odd, F.when(F.col("doc_id") < 6, 0).otherwise(F.col("doc_id") % 2 + 1), 3).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in rows) == Counter((k, zlib.crc32(t.encode())) for k, t in texts(odd))
+    four = spark.range(8).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
+    old = F.when(F.col("doc_id") < 2, 0).when(F.col("doc_id") < 5, 1).when(F.col("doc_id") < 6, 2).otherwise(3)
+    rows = resharding.rewritten(four, old, 4).collect()
+    assert paths[-1][2] == {1, 2} and sorted(Counter(r["shard"] for r in rows).values()) == [2, 2, 2, 2]
+    assert resharding.rewritten(four, F.col("doc_id") % 4, 4).count() == 8
+    assert resharding.rewritten(empty, F.lit(0), 4).count() == 0
+
+
 # --- 6 --------------------------------------------------------------------
 
 

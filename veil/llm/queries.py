@@ -78,11 +78,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veil.llm.resharding import reshard
+    from veil.llm.resharding import rewritten
 
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(32))
-    placed, _ = reshard(table(spark, sf_dir, "documents"), old, 40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    rows = rewritten(table(spark, sf_dir, "documents"), old, 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.llm._shared import filesystem, partitions_of, through_table
+from veil.llm._shared import filesystem, partitions_of, release, shared_dir, through_table
 
 CLASSES = 8
 BROADCAST_ROWS = 500_000
@@ -221,6 +221,23 @@ def affected(transfers: list[Transfer]) -> set[int]:
     return {t.shard for t in moved} | {t.block // _CLASS for t in moved}
 
 
+def rewritten(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "doc_id", text: str = "text", row_bytes: int = 16) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, shard, slot) of every row after the move, size and crc from the text as it stands then.
+
+    The affected shards are written in the shared folder and read back; rows of the others, whose files stay, are read where they are.
+    """
+    spark = docs.sparkSession
+    placed, transfers = reshard(docs, old_shard, shards, key=key, text=text, row_bytes=row_bytes, carry=(text,))
+    placed = placed.withColumnRenamed(text, "body").select("doc_id", "body", "old_shard", "slot", "shard")
+    release(spark)
+    path = shared_dir(spark, "shards")
+    new = rewrite(placed, transfers, path)
+    stay = placed.where(~F.col("shard").isin(sorted(affected(transfers))))
+    rows = stay.unionByName(spark.read.schema(placed.schema).parquet(path)) if new else stay
+    body = F.coalesce("body", F.lit(""))
+    return rows.select("doc_id", (F.octet_length(body) + F.lit(row_bytes)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), "old_shard", "shard", "slot")
+
+
 def rewrite(placed: DataFrame, transfers: list[Transfer], path: str, rows_a_file: int = 1 << 16) -> list[int]:
     """Writes the files of the affected shards (folders ``shard=N`` below path, rows by slot) and leaves the others alone; returns the shards written.
 
