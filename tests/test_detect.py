@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from veil.errors import PolicyError
 from veil.functions import codecs, finders
@@ -78,3 +79,12 @@ def test_luhn_as_python(column):
         return bool(d) and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
 
     assert column(numbers, codecs.luhn) == [ok(n) for n in numbers]
+
+
+@pytest.mark.parametrize("rows", [None, 12_000])
+def test_first_values_of_late_columns(spark, rows):
+    """A column whose values start after 10,000 rows is scored from its first values."""
+    alike = F.when(F.col("id") >= 11_000, F.concat(F.lit("zz"), (F.col("id") % 3).cast("string"))).otherwise(F.when(F.col("id") % 2 == 0, "").otherwise(None))
+    df = spark.range(12_500).select("id", alike.alias("late"), F.lit("a").alias("always"))
+    got = detect.by_heuristics(df, Keywords(threshold=0.5), order=["id"], rows=rows)
+    assert got["late"]["detected_by"] == ["consistent_format"] and got["late"]["sample_size"] == (rows or 12_500)

@@ -94,7 +94,7 @@ def by_heuristics(df: DataFrame, keywords: Keywords | None = None, *, order: lis
         c = F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`"))
         sums += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}")]
     whole = sample.agg(F.count(F.lit(1)).alias("rows"), *sums).first()
-    # first values: a bounded head of the order; blanks are rare enough that a few times twenty rows hold twenty values, else more are read
+    # first values: a bounded head of the order; blanks are rare enough that a few times twenty rows hold twenty values, else more are read, and beyond 10,000 rows the non-blank ones of each column
     head, size = ordered.select(*(F.col(f"`{n}`") for n in names)), 100
     if rows:
         head, size = head.limit(rows), min(size, rows)
@@ -104,6 +104,10 @@ def by_heuristics(df: DataFrame, keywords: Keywords | None = None, *, order: lis
         if len(got) < size or size >= 10_000 or all(len(v) >= min(20, whole[f"n{i}"]) for i, v in enumerate(values)):
             break
         size *= 10
+    for i, own in enumerate(values):  # columns with few values or late ones
+        if len(own) < min(20, whole[f"n{i}"]):
+            c = F.col(f"`{names[i]}`")
+            values[i] = [r[0] for r in (head if rows else ordered).where(c != "").select(c).limit(20).collect()]
     flat = [(i, j, v) for i, own in enumerate(values) for j, v in enumerate(own)]
     bits: dict[int, list[float]] = {}
     if flat:
