@@ -81,6 +81,16 @@ def test_luhn_as_python(column):
     assert column(numbers, codecs.luhn) == [ok(n) for n in numbers]
 
 
+def test_digits_of_any_script(column):
+    """Texts without ASCII digits are searched too."""
+    for zero in ("\u0660", "\uff10"):
+        other = lambda t, zero=zero: "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in t)
+        phone, ssn = other("212-555-1234"), other("123-45-6789")
+        assert column([f"call {phone}"], finders.find_phones) == [[phone]]
+        assert column([f"is {ssn}"], finders.find_ssns) == [[ssn]]
+        assert column([f"call {phone} or {ssn}"], finders.redacted) == ["call [PHONE] or [SSN]"]
+
+
 @pytest.mark.parametrize("rows", [None, 12_000])
 def test_first_values_of_late_columns(spark, rows):
     """A column whose values start after 10,000 rows is scored from its first values."""

@@ -45,18 +45,18 @@ def find_emails(text: Column) -> Column:
 
 def find_phones(text: Column) -> Column:
     """Distinct, sorted."""
-    return F.when(text.rlike(r"\d{3}"), F.array_sort(F.array_distinct(_all(text, *PHONES)))).otherwise(_none())
+    return F.when(text.rlike(JAVA + r"\d{3}"), F.array_sort(F.array_distinct(_all(text, *PHONES)))).otherwise(_none())
 
 
 def find_ssns(text: Column) -> Column:
-    return F.when(text.rlike(r"\d{3}"), _all(text, SSN)).otherwise(_none())
+    return F.when(text.rlike(JAVA + r"\d{3}"), _all(text, SSN)).otherwise(_none())
 
 
 def find_cards(text: Column, valid_only: bool = False) -> Column:
     """Distinct, sorted; valid_only: those alone that pass the Luhn test."""
     from veil.functions.codecs import luhn
 
-    found = F.when(text.rlike(r"\d{4}"), F.array_sort(F.array_distinct(_all(text, *CARDS.values())))).otherwise(_none())
+    found = F.when(text.rlike(JAVA + r"\d{4}"), F.array_sort(F.array_distinct(_all(text, *CARDS.values())))).otherwise(_none())
     return F.filter(found, lambda c: luhn(F.regexp_replace(c, r"\D", ""))) if valid_only else found
 
 
@@ -79,4 +79,4 @@ def redacted(text: Column, redactions: tuple[tuple[str, str], ...] = REDACTIONS)
     out = text
     for pattern, mark in redactions:
         out = F.regexp_replace(out, JAVA + pattern, mark)
-    return F.when(text.rlike(r"[@\d]"), out).otherwise(text)
+    return F.when(text.rlike(JAVA + r"[@\d]"), out).otherwise(text)
