@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veil.llm import chat, near_dups, packing, pieces, queries, repeats, repetition, resharding, token_store, topk, toxicity
-from veil.llm._text import batches, prefix_hash, span_hash, words
+from veil.llm._text import batches, chunks, span_keys, words
 from veil.llm._tokens import SpanTokenizer
 from veil.llm.queries import tokenizer_path
 
@@ -54,8 +54,7 @@ def test_words_and_keys():
     keys = defaultdict(set)
     for a, b, data, offsets in batches(column, 50):
         start, end, text = words(data, offsets)
-        prefix = prefix_hash(data)
-        for s, e, t, h in zip(start, end, text, span_hash(prefix, start, end), strict=True):
+        for s, e, t, h in zip(start, end, text, span_keys(chunks(data), start, end), strict=True):
             got[a + t].append(data[s:e].tobytes())
             keys[data[s:e].tobytes()].add(int(h))
         pieces_ = words(data, offsets, pieces=True)
@@ -307,11 +306,11 @@ def planted(rng, n=60):
     return out + [(100, None), (101, ""), (None, out[3][1]), (3, out[3][1]), (5, out[6][1])]
 
 
-@pytest.mark.parametrize("widest", [50_000, 2])
-def test_repeats(spark, odd, empty, widest):
+@pytest.mark.parametrize(("widest", "part"), [(4096, 1 << 22), (2, 50)])
+def test_repeats(spark, odd, empty, widest, part):
     rows = planted(np.random.default_rng(6))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("low", F.lit(1)).repartition(4)
-    rule = repeats.Repeats(length=30, gram=8, collection=7, widest=widest)
+    rule = repeats.Repeats(length=30, gram=8, collection=7, widest=widest, part=part)
     for one in (df, odd):
         got = repeats.remove_repeats(one, rule).collect()
         want = brute_repeats([(k, t.encode()) for k, t in texts(one)], 30)
@@ -321,6 +320,26 @@ def test_repeats(spark, odd, empty, widest):
     assert repeats.remove_repeats(empty, rule).count() == 0
 
 
+def test_repeats_come_from_the_transform(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(97, 123, 60, dtype=np.uint8)
+    bodies = [base, base[:50], rng.integers(97, 123, 60, dtype=np.uint8), base[10:]]
+    args = np.zeros(4, np.int64), np.array([20, 20, 20, 10]), np.array([len(b) for b in bodies]), np.concatenate(bodies), 30
+    hit = repeats.repeated_windows(*args)
+    assert [h.nonzero()[0].tolist() for h in hit] == [list(range(31)), list(range(21)), [], list(range(21))]
+    write = repeats._write
+    monkeypatch.setattr(repeats, "_write", lambda spool, order, common, transform: write(spool, order, common, np.where((transform != repeats.ENDED) & (np.arange(len(order)) % 2 == 0), 7, transform)))
+    assert repeats.repeated_windows(*args).sum() < hit.sum()
+
+
+def test_equal_rows_are_linear(spark):
+    rows = 10_000
+    text = " ".join(f"word{i}" for i in range(150))
+    df = spark.range(rows).select(F.lit(5).alias("doc_id"), F.lit(text).alias("text"))
+    out = repeats.remove_repeats(df).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in out] == [(5, len(text), 1, rows)]
+
+
 # --- 7 --------------------------------------------------------------------
 
 
@@ -456,7 +475,7 @@ def near_rows(rng):
 def test_near_duplicates(spark, docs, odd, empty):
     rows = near_rows(np.random.default_rng(9))
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for df, near in ((made, near_dups.Near()), (made, near_dups.Near(chunk=2, block=3)), (odd.where("doc_id <> 3 or doc_id is null"), near_dups.Near()), (docs, near_dups.Near())):
+    for df, near in ((made, near_dups.Near()), (made, near_dups.Near(chunk=100, block=3, guests=2)), (odd.where("doc_id <> 3 or doc_id is null"), near_dups.Near()), (docs, near_dups.Near())):
         got = near_dups.near_duplicates(df, near).collect()
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(texts(df))
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
@@ -474,8 +493,10 @@ def test_estimates():
             same = int(len(a) * 2 * share / (1 + share))
             b = np.concatenate([a[:same], np.unique(rng.integers(0, 2**63, len(a) - same, dtype=np.uint64) * np.uint64(2) + np.uint64(1))])
             regs = [near_dups.registers(np.zeros(len(x), np.int64), np.sort(x), 1, near) for x in (a, b)]
-            errors.append(float(near_dups.estimate(regs[0], regs[1], len(a), len(b), near)[0]) - share)
-        assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.15
+            planes = [near_dups.fold(r, near) for r in regs]
+            found, error = near_dups.estimates(*planes, np.array([len(a)]), np.array([len(b)]), near)
+            errors.append(float(found[0, 0]) - share)
+        assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.15 and 0.02 < error[0, 0] < 0.04
 
 
 # --- 10 -------------------------------------------------------------------

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from veil.llm._text import prefix_hash, span_hash, sums, words
+from veil.llm._text import chunks, span_keys, sums, words
 
 # The pre-token patterns that the two tokenizer files state.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,7 +96,7 @@ class SpanTokenizer:
         start, end, text = words(data, offsets, pieces=not self.lower)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        code, key = pd.factorize(span_hash(prefix_hash(data), start, end))
+        code, key = pd.factorize(span_keys(chunks(data), start, end))
         if len(self.keys) > KEPT_SPANS:
             self.clear()
         at = np.searchsorted(self.keys, key)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.llm._shared import bounded_batches
-from veil.llm._text import batches, mix, prefix_hash, span_hash
+from veil.llm._text import batches, chunks, mix, span_keys
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64((1 << 20) - 1)
@@ -68,8 +68,7 @@ class Pieces:
         self.begin = np.cumsum(self.size) - self.size
         self.body = np.frombuffer(b"".join(names), np.uint8)
         own = np.array([i for i in range(count) if np.isfinite(weight[i]) and i not in set(self.byte_ids.tolist())], np.int64)
-        prefix = prefix_hash(self.body)
-        hashes = span_hash(prefix, self.begin[own], self.begin[own] + self.size[own])
+        hashes = span_keys(chunks(self.body), self.begin[own], self.begin[own] + self.size[own])
         #: Flags by the last bits of hashes: most byte strings are told from pieces by these.
         self.near = np.zeros(1 << 20, bool)
         self.near[(hashes & _LAST).astype(np.int64)] = True
@@ -86,7 +85,7 @@ class Pieces:
 
     def edges(self, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first byte, piece) of all edges inside the spans; end: the end of each byte's span."""
-        prefix = prefix_hash(data)
+        eight = chunks(data)
         head = (data & 0xC0) != 0x80
         lead = np.flatnonzero(head)
         size = np.diff(np.append(lead, len(data)))
@@ -95,7 +94,7 @@ class Pieces:
         first, piece = [], []
         for n, (hashes, ids) in self.by_size.items():
             at = lead[lead + n <= end[lead]]
-            got = span_hash(prefix, at, at + n)
+            got = span_keys(eight, at, at + n)
             maybe = np.flatnonzero(self.near[(got & _LAST).astype(np.int64)])
             at, got = at[maybe], got[maybe]
             place = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
@@ -182,7 +181,7 @@ def sample(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     cut[offsets[:-1][filled]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(data))
-    code, unit = pd.factorize(span_hash(prefix_hash(data), start, end))
+    code, unit = pd.factorize(span_keys(chunks(data), start, end))
     first = np.full(len(unit), -1, np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     size = (end - start)[first]

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches
-from veil.llm._text import SPACE, batches, mix, prefix_hash, span_hash, sums, text_of, words
+from veil.llm._shared import bounded_batches, tidy
+from veil.llm._text import SPACE, batches, chunks, mix, span_keys, sums, text_of, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -123,10 +123,10 @@ def measures(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str,
     if not len(data):
         return dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"), np.zeros(n, np.int64))
     start, end, text = words(data, offsets)
-    prefix = prefix_hash(data)
+    eight = chunks(data)
     count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
     salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    length = longest_repeats(span_hash(prefix, start, end) ^ salt[text], text)
+    length = longest_repeats(span_keys(eight, start, end) ^ salt[text], text)
     breaks = data == 0x0A
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
@@ -137,7 +137,7 @@ def measures(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str,
     lines = np.searchsorted(start, stop) > np.searchsorted(start, begin)
     begin, stop = begin[lines], stop[lines]
     owner = text_of(begin, offsets)
-    _, once = np.unique(span_hash(prefix, begin, stop) ^ salt[owner], return_index=True)
+    _, once = np.unique(span_keys(eight, begin, stop) ^ salt[owner], return_index=True)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, text, length)
     return {
@@ -155,7 +155,8 @@ def quality(docs: DataFrame, limits: Limits | None = None, *, key: str = "doc_id
     """The key, the kept columns, the measures, base_failed and kept, a row for each row."""
     limits = limits or Limits()
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep) if c != text))
+    taken = [rows.columns.index("text" if c == text else f"kept_{i}") for i, c in enumerate(keep)]  # the text travels once
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -163,9 +164,10 @@ def quality(docs: DataFrame, limits: Limits | None = None, *, key: str = "doc_id
                 m = measures(data, offsets, limits)
                 m["base_failed"] = (m["n_words"] < limits.least_words) | (100 * m["n_repeat_words"] > limits.repeat_percent * m["n_words"])
                 m["kept"] = ~m["base_failed"] & (100 * m["covered_words"] <= limits.covered_percent * m["n_words"]) & (m["longest_repeat"] <= limits.longest_words)
-                columns = {"doc_id": part.column(0).slice(a, b - a)} | {f"kept_{i}": part.column(2 + i).slice(a, b - a) for i in range(len(keep))}
+                columns = {"doc_id": part.column(0).slice(a, b - a)} | {f"kept_{i}": part.column(j).slice(a, b - a) for i, j in enumerate(taken)}
                 yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v) for k, v in m.items()})
+        tidy()
 
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
-    fields = ["doc_id long", *(f"kept_{i} {rows.schema[f'kept_{i}'].dataType.simpleString()}" for i in range(len(keep))), *(f"{c} long" for c in names), "base_failed boolean", "kept boolean"]
+    fields = ["doc_id long", *(f"kept_{i} {rows.schema[rows.columns[j]].dataType.simpleString()}" for i, j in enumerate(taken)), *(f"{c} long" for c in names), "base_failed boolean", "kept boolean"]
     return rows.mapInArrow(judge, ", ".join(fields))

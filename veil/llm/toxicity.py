@@ -36,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches
-from veil.llm._text import LOWER, batches, mix, prefix_hash, span_hash, words
+from veil.llm._shared import bounded_batches, tidy
+from veil.llm._text import LOWER, batches, chunks, mix, span_keys, words
 
-KEPT_WORDS = 2_000_000
+#: Words whose sums a task keeps.
+KEPT_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -72,20 +73,18 @@ def bags(data: np.ndarray, start: np.ndarray, end: np.ndarray, fit: Fit) -> tupl
     inside[edge[:-1]] = inside[edge[1:] - 1] = False
     step = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     marked[inside] = LOWER[data[step]]
-    prefix = prefix_hash(marked)
-    owner, begin, stop = [np.arange(len(size))], [edge[:-1]], [edge[1:]]
+    eight = chunks(marked)
+    owner, keys = [np.arange(len(size))], [span_keys(eight, edge[:-1], edge[1:])]
     place = np.arange(len(marked))
     last = np.repeat(edge[1:], size + 2)
     word = np.repeat(np.arange(len(size)), size + 2)
     for n in range(fit.least, fit.most + 1):
         ok = (place + n <= last) & (n < np.repeat(size + 2, size + 2))
         owner.append(word[ok])
-        begin.append(place[ok])
-        stop.append(place[ok] + n)
-    owner, begin, stop = (np.concatenate(x) for x in (owner, begin, stop))
+        keys.append(span_keys(eight, place[ok], place[ok] + n))
+    owner, hashed = np.concatenate(owner), np.concatenate(keys)
     order = np.argsort(owner, kind="stable")
-    hashed = span_hash(prefix, begin[order], stop[order])
-    return (hashed % np.uint64(fit.rows)).astype(np.int64), np.bincount(owner, minlength=len(size))
+    return (hashed[order] % np.uint64(fit.rows)).astype(np.int64), np.bincount(owner, minlength=len(size))
 
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +92,7 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     start, end, text = words(data, offsets)
     if not len(start):
         return start, end, np.zeros(0, np.uint64), text
-    key = span_hash(prefix_hash(LOWER[data]), start, end)
+    key = span_keys(chunks(LOWER[data]), start, end)
     _, first = np.unique(mix(key ^ mix(text.astype(np.uint64))), return_index=True)
     first.sort()
     return start[first], end[first], key[first], text[first]
@@ -193,6 +192,7 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit | None
                 pairs = [counted(data[i:j], fit) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
                 blobs = [pa.array([x[k].tobytes() for x in pairs], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *blobs], names=["doc_id", "label", "rows", "times"])
+        tidy()
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
     table = chosen.mapInArrow(read, "doc_id long, label int, rows binary, times binary").toArrow()
@@ -207,7 +207,8 @@ def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     """The key, the kept columns and the score of every row, from its whole text."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep) if c != text))
+    taken = [rows.columns.index("text" if c == text else f"kept_{i}") for i, c in enumerate(keep)]  # the text travels once
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -228,10 +229,11 @@ def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
                     known = known.append(pd.Index(unit[new]))
                 at = at[code]
                 score_ = model.score(np.bincount(owner, total[at], b - a), np.bincount(owner, size[at], b - a)) if len(at) else model.score(np.zeros(b - a), np.zeros(b - a))
-                columns = [part.column(0).slice(a, b - a), *(part.column(2 + i).slice(a, b - a) for i in range(len(keep))), pa.array(score_)]
+                columns = [part.column(0).slice(a, b - a), *(part.column(i).slice(a, b - a) for i in taken), pa.array(score_)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"kept_{i}" for i in range(len(keep))), "score"])
+        tidy()
 
-    fields = ["doc_id long", *(f"kept_{i} {rows.schema[f'kept_{i}'].dataType.simpleString()}" for i in range(len(keep))), "score double"]
+    fields = ["doc_id long", *(f"kept_{i} {rows.schema[rows.columns[j]].dataType.simpleString()}" for i, j in enumerate(taken)), "score double"]
     return rows.mapInArrow(score, ", ".join(fields))
 
 
