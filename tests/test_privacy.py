@@ -56,8 +56,8 @@ def test_noise_has_its_distribution(spark):
 
 def test_noisy_groups(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    one, two = (sorted(Private(Budget(10.0), seed=5).count(df.repartition(n), ["g"], query="a", epsilon=1).collect()) for n in (1, 7))
     p = Private(Budget(10.0), seed=5)
-    one, two = (sorted(p.count(df.repartition(n), ["g"], query="a", epsilon=1).collect()) for n in (1, 7))
     other = sorted(p.count(df, ["g"], query="b", epsilon=1).collect())
     assert one == two and one != other
     total = p.sum(df, "v", (0, 10), epsilon=1).first()["noisy_sum"]
@@ -67,6 +67,29 @@ def test_noisy_groups(spark):
         p.count(df, epsilon=0)
 
 
+def test_noise_does_not_cancel(spark):
+    """Asking twice, at another epsilon or about a table less one row, doesn't give the truth."""
+    df = spark.range(1000).select((F.col("id") % 5).alias("g"))
+    ask = lambda p, d, epsilon: {r["g"]: r["noisy_count"] for r in p.count(d, ["g"], epsilon=epsilon).collect()}
+    for seed in (None, 5):
+        p, q = Private(Budget(10.0), seed=seed), Private(Budget(10.0), seed=seed)
+        a, b = ask(p, df, 0.1), ask(q, df, 0.2)
+        assert all(abs(2 * b[g] - a[g] - 200) > 1e-6 for g in a)
+    p = Private(Budget(10.0))
+    a, b = ask(p, df, 0.1), ask(p, df.where("g <> 0").unionAll(df.where("g = 0").limit(199)), 0.1)
+    assert all(abs(a[g] - b[g] - (g == 0)) > 1e-6 for g in a)
+    seeded = Private(Budget(10.0), seed=1)
+    ask(seeded, df, 0.1)
+    with pytest.raises(ValueError):
+        ask(seeded, df, 0.2)
+
+
+def test_groups_have_keys_of_their_own(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "-")], "x string, y string")
+    got = [r["noisy_count"] for r in Private(Budget(1.0), seed=2).count(df, ["x", "y"], epsilon=1).collect()]
+    assert len(set(got)) == 4
+
+
 def test_k_anonymous(spark):
     df = spark.createDataFrame([("a", None)] * 3 + [("b", 1)], "x string, y int")
     assert k_anonymous(df, ["x", "y"], 3).count() == 3

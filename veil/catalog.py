@@ -6,6 +6,7 @@ code.  Values that both sides need (word lists) are read from one place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -430,7 +431,7 @@ def ssn_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeded_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements that need Python's own generator."""
     card = replaced(F.col("p_partkey"), "credit_card", domain="card")
-    return table(spark, sf_dir, "part").select("p_partkey", codecs.ssn_simple(_ssn(), "replace", twister=True).alias("ssn"), codecs.card_simple(card, "replace", twister=True).alias("card"))
+    return codecs.seeded(codecs.seeded(table(spark, sf_dir, "part").select("p_partkey"), "ssn", _ssn(), "ssn"), "credit_card", card, "card")
 
 
 _VISA = "'4' || lpad(CAST(p_partkey AS VARCHAR), 14, '1')"
@@ -470,12 +471,13 @@ def rich_codec_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- differential privacy -------------------------------------------------
 
 
-def _u(query_: str, key: str, kind: str, salt: int = 0) -> str:
-    return f"((CAST({_num(f'{kind}|{query_}', key, salt, 3)} AS DOUBLE) + 0.5) / 4503599627370496.0)"
+def _u(query_: str, key: str, kind: str, scale: float, salt: int = 0) -> str:
+    group = f"(length({key}) || ':' || {key})"
+    return f"((CAST({_num(f'{kind}|{scale!r}|{query_}', group, salt, 3)} AS DOUBLE) + 0.5) / 4503599627370496.0)"
 
 
 def _laplace(scale: float, query_: str, key: str) -> str:
-    u = f"({_u(query_, key, 'laplace')} - 0.5)"
+    u = f"({_u(query_, key, 'laplace', scale)} - 0.5)"
     return f"(-{scale} * sign({u}) * ln(1 - 2 * abs({u})))"
 
 
@@ -491,7 +493,10 @@ def dp_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderpriority", F.round("noisy_sum", 2).alias("noisy_sum"))
 
 
-@query(f"SELECT event_type, round(n + sqrt(2 * ln(1.25 / 0.01)) / 0.5 * sqrt(-2 * ln({_u('g', 'event_type', 'gauss', 1)})) * cos(2 * pi() * {_u('g', 'event_type', 'gauss', 2)}), 6) AS noisy_count FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+_SIGMA = math.sqrt(2 * math.log(1.25 / 0.01)) / 0.5
+
+
+@query(f"SELECT event_type, round(n + sqrt(2 * ln(1.25 / 0.01)) / 0.5 * sqrt(-2 * ln({_u('g', 'event_type', 'gauss', _SIGMA, 1)})) * cos(2 * pi() * {_u('g', 'event_type', 'gauss', _SIGMA, 2)}), 6) AS noisy_count FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def dp_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Private(Budget(1.0, 0.1), "gaussian", seed=3).count(table(spark, sf_dir, "events"), ["event_type"], query="g", epsilon=0.5, delta=0.01)
     return out.select("event_type", F.round("noisy_count", 6).alias("noisy_count"))

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.errors import PolicyError
@@ -129,8 +130,11 @@ def _seeded(n: str) -> random.Random:
     return random.Random(int(hashlib.md5(n.encode()).hexdigest(), 16))
 
 
-def _twister(make: Callable[[str], str | None]) -> Callable[[Column], Column]:
-    """A generator that needs Python's own random numbers, over Arrow batches."""
+def _twister(make: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A replacement that needs Python's own random numbers, over Arrow batches.
+
+    It takes the value as it is and says itself what is valid.  Spark can't run one whose input has higher-order functions in it; ``seeded`` computes such an input first.
+    """
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -140,26 +144,44 @@ def _twister(make: Callable[[str], str | None]) -> Callable[[Column], Column]:
     return run
 
 
-def _twister_ssn(n: str) -> str:
+def _ascii_digits(v: str) -> str:
+    return re.sub(r"[^0-9]", "", v)
+
+
+def _luhn_sum(n: str) -> int:
+    """Of the digits, every second one from the last but one on doubled."""
+    doubled = (int(c) * (1 + i % 2) for i, c in enumerate(reversed(n)))
+    return sum(d - 9 if d > 9 else d for d in doubled)
+
+
+def _twister_ssn(v: str) -> str:
+    n = _ascii_digits(v)
+    if len(n) != 9:
+        return v
     rng = _seeded(n)
     area = rng.choice([f"{i:03d}" for i in range(1, 900) if i != 666])
     return f"{area}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
 
 
-def _twister_card(n: str) -> str:
+def _twister_card(v: str) -> str:
+    n = _ascii_digits(v)
+    if not 12 <= len(n) <= 19 or _luhn_sum(n) % 10:
+        return v
     rng = _seeded(n)
     lead = f"5{rng.randint(1, 5)}" if n[0] == "5" else "4"
     body = lead + "".join(str(rng.randint(0, 9)) for _ in range(16 - len(lead)))
     body = body[:15]
-    doubled = [int(c) * (2 if i % 2 == 0 else 1) for i, c in enumerate(body)]
-    return body + str(-sum(d - 9 if d > 9 else d for d in doubled) % 10)
+    whole = body + str(-_luhn_sum(body + "0") % 10)
+    return "-".join(whole[i : i + 4] for i in range(0, 16, 4))
 
 
 def ssn_simple(value: Column, strategy: str = "mask", twister: bool = False) -> Column:
     """twister: replacements from Python's seeded generator; else from keyed hashes."""
     d = only_digits(value)
+    if strategy == "replace" and twister:
+        return _twister(_twister_ssn)(value)
     if strategy == "replace":
-        made = _twister(_twister_ssn)(d) if twister else GENERATORS["ssn"](0, "ssn", d)
+        made = GENERATORS["ssn"](0, "ssn", d)
     else:
         made = {
             "hash": F.concat(F.lit("SSN-"), F.upper(F.left(F.sha2(value, 256), F.lit(12)))),
@@ -170,16 +192,18 @@ def ssn_simple(value: Column, strategy: str = "mask", twister: bool = False) ->
 
 
 def card_simple(value: Column, strategy: str = "mask", *, key: str | None = None, twister: bool = False) -> Column:
-    """Cards of 12 to 19 digits that pass the Luhn test; key: for reversible tokens (16, 24 or 32 bytes)."""
+    """Cards of 12 to 19 digits that pass the Luhn test; key: for reversible tokens (16, 24 or 32 bytes).
+
+    The key is a literal of the plan, so whoever may read plans or event logs may read it.
+    """
     d = only_digits(value)
     hidden = F.concat(F.when(F.length(d) == 15, F.lit("XXXX-XXXXXX-X")).otherwise(F.lit("XXXX-XXXX-XXXX-")), F.right(d, F.lit(4)))
     if strategy == "replace" and twister:
-        whole = _twister(_twister_card)(d)
-    elif strategy == "replace":
+        return _twister(_twister_card)(value)
+    if strategy == "replace":
         lead = F.when(d.startswith("5"), F.concat(F.lit("5"), choice(0, "card", d, ("1", "2", "3", "4", "5")))).otherwise(F.concat(F.lit("4"), digits(0, "card", d, 1, 1)))
         body = F.concat(lead, digits(0, "card", d, 13, 2))
         whole = let(body, lambda b: F.concat(b, luhn_digit(b, 15)))
-    if strategy == "replace":
         made = F.concat_ws("-", *(F.substring(whole, 1 + 4 * i, 4) for i in range(4)))
     elif strategy == "token" and key:
         # the first twelve hex digits of the number's hash as nonce: one number has one token
@@ -367,5 +391,11 @@ def register_codec(kind: str, made: type[Codec]) -> None:
     _codecs[kind.lower()] = made
 
 
+def seeded(df: DataFrame, kind: str, value: Column, name: str) -> DataFrame:
+    """df with a column of replacements (ssn or credit_card) of any expression by Python's seeded generator; the value is computed before, in a row's own one-element list that the optimizer doesn't merge into the call."""
+    stored = df.select("*", F.explode(F.array(value)).alias(name))
+    return stored.withColumn(name, SIMPLE[kind](F.col(f"`{name}`"), "replace", twister=True))
+
+
 #: The plain family by type.
 SIMPLE: dict[str, Callable[..., Column]] = {"email": email_simple, "phone": phone_simple, "ssn": ssn_simple, "credit_card": card_simple}

@@ -2,11 +2,18 @@
 
 Aggregates run natively; noise is added to one row a group.  Spending is
 accounted on the driver before a query runs.
+
+Every query draws noise of its own: without a seed, its key is a secret that is
+drawn anew for each call, so noises neither cancel between calls nor can be
+recomputed.  A seed makes noise repeatable and is for tests; the seed and name of
+a query then work once in a budget.  Group names are in the open: a group that is
+there only because of one person is a fact that noise doesn't hide.
 """
 
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -40,17 +47,23 @@ def _confidence(c: float) -> None:
         raise ValueError("confidence must be in (0, 1)")
 
 
+def _key(seed: object) -> object:
+    """The seed, or a secret of this call."""
+    return secrets.token_hex(16) if seed is None else seed
+
+
 @dataclass(frozen=True)
 class Laplace:
     parameters: Parameters
-    seed: object = 0
+    #: None: a secret one for each call of ``noise``.
+    seed: object = None
 
     @property
     def scale(self) -> float:
         return self.parameters.sensitivity / self.parameters.epsilon
 
     def noise(self, key: Column, query: str) -> Column:
-        return laplace(key, self.scale, self.seed, query)
+        return laplace(key, self.scale, _key(self.seed), query)
 
     def margin(self, confidence: float = 0.95) -> float:
         _confidence(confidence)
@@ -63,7 +76,7 @@ class Laplace:
 @dataclass(frozen=True)
 class Gaussian:
     parameters: Parameters
-    seed: object = 0
+    seed: object = None
 
     def __post_init__(self) -> None:
         if not self.parameters.delta > 0:
@@ -75,7 +88,7 @@ class Gaussian:
         return p.sensitivity * math.sqrt(2 * math.log(1.25 / p.delta)) / p.epsilon
 
     def noise(self, key: Column, query: str) -> Column:
-        return gaussian(key, self.sigma, self.seed, query)
+        return gaussian(key, self.sigma, _key(self.seed), query)
 
     def margin(self, confidence: float = 0.95) -> float:
         _confidence(confidence)
@@ -92,7 +105,7 @@ class Gaussian:
 MECHANISMS = {"laplace": Laplace, "gaussian": Gaussian}
 
 
-def mechanism(name: str, parameters: Parameters, seed: object = 0) -> Laplace | Gaussian:
+def mechanism(name: str, parameters: Parameters, seed: object = None) -> Laplace | Gaussian:
     if name.lower() not in MECHANISMS:
         raise ValueError(f"unknown mechanism {name!r}")
     return MECHANISMS[name.lower()](parameters, seed)
@@ -127,6 +140,13 @@ class Budget:
     def reset(self) -> None:
         self.spent_epsilon = self.spent_delta = Decimal(0)
         self.queries = 0
+        self.seeded: set[tuple] = set()
+
+    def claim(self, *name: object) -> None:
+        """Refuses the second query of one name and seed, whose noise would be known from the first."""
+        if name in self.seeded:
+            raise ValueError(f"the seeded query {name!r} has been asked; give it another name")
+        self.seeded.add(name)
 
     def consume(self, epsilon: float, delta: float = 0.0) -> None:
         if epsilon < 0 or delta < 0:
@@ -163,7 +183,7 @@ class Budget:
 class Private:
     """Noisy aggregates under a budget."""
 
-    def __init__(self, budget: Budget, name: str = "laplace", seed: object = 0) -> None:
+    def __init__(self, budget: Budget, name: str = "laplace", seed: object = None) -> None:
         self.budget, self.name, self.seed = budget, name, seed
         mechanism(name, Parameters(1.0, 1e-6))
 
@@ -171,6 +191,8 @@ class Private:
         epsilon = float(self.budget.epsilon) / 10 if epsilon is None else epsilon
         delta = (float(self.budget.delta) / 10 if self.name == "gaussian" else 0.0) if delta is None else delta
         made = mechanism(self.name, Parameters(epsilon, delta, of), self.seed)
+        if self.seed is not None:
+            self.budget.claim(self.name, self.seed, query)
         self.budget.consume(epsilon, delta)
         return made.noise(key, query)
 
@@ -179,7 +201,9 @@ class Private:
         return value + self._noise(query, key, of, epsilon, delta)
 
     def _groups(self, by: Sequence[str]) -> Column:
-        return F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in by)) if by else F.lit("")
+        """A group's values in one string from which they could be read back, so that no two groups have one key."""
+        values = (F.col(f"`{c}`").cast("string") for c in by)
+        return F.concat(*(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values)) if by else F.lit("")
 
     def count(self, df: DataFrame, by: Sequence[str] = (), *, query: str = "count", epsilon: float | None = None, delta: float | None = None) -> DataFrame:
         out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
