@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from veil.functions import fakes
 from veil.errors import PolicyError
 from veil.functions.strategies import hashed, masked, partial_email, truncated
 from veil.plans.nested import apply_nested, get_nested, matches, rewrite_json_text, set_nested
@@ -107,3 +108,10 @@ def test_json_texts_of_any_shape(column):
     assert got == ['{"users": [{"name": "**n"}, {"name": null, "x": 1}], "n": 1.5}', '{"users": {"a": {"name": "*"}}}', "no json", None]
     made = column(['{"a": "Ann"}'], lambda c: rewrite_json_text(c, {"a": {"strategy": "replace"}}))[0]
     assert made.startswith('{"a": "anon_')
+
+
+def test_replacements_differ_from_the_value(column):
+    for kind, pool in (("city", fakes.CITIES), ("last_name", fakes.LAST), ("first_name", fakes.FIRST), ("job_title", fakes.JOBS), ("country", fakes.COUNTRIES), ("tld", fakes.TLDS)):
+        assert all(a != b for a, b in zip(pool, column(list(pool), lambda c, k=kind: fakes.fake(k, 0, k, c)), strict=True))
+    names = [f"{a} {b}" for a in fakes.FIRST for b in fakes.LAST]
+    assert all(a != b for a, b in zip(names, column(names, lambda c: fakes.fake("name", 0, "name", c)), strict=True))

@@ -40,6 +40,33 @@ def test_json_paths_and_in_place(spark, tmp_path):
     assert row["users"][0].asDict() == {"name": "***", "age": 3, "ok": True} and os.path.exists(f"{path}.bak")
 
 
+def test_in_place_twice(spark, people, tmp_path):
+    first = open(people).read()
+    for _ in range(2):
+        files.anonymize_in_place(spark, people, {"name": {"strategy": "mask", "preserve_last": 1}})
+    assert os.path.isfile(people) and open(f"{people}.bak").read() == first and os.path.isfile(f"{people}.bak.1")
+    assert sorted(tuple(r) for r in files.read(spark, people).collect()) == [("1", "*****B", "ann@x.org"), ("2", "", "bob@x.org"), ("3", "*y", "")]
+    with pytest.raises(Exception):
+        files.anonymize_in_place(spark, people, {"name": {"strategy": "no such strategy"}})
+    assert sorted(os.listdir(tmp_path)) == ["people.csv", "people.csv.bak", "people.csv.bak.1"]
+
+
+@pytest.mark.parametrize("name", ["o.csv", "o.tsv", "o.jsonl", "o.parquet", "o.json"])
+def test_one_file_out(spark, tmp_path, name):
+    df = spark.range(40).selectExpr("cast(id as string) as `a, b`", "concat('x\"', id) as c").repartition(4)
+    files.write(df, str(tmp_path / name), options=files.FormatOptions(single_file=True))
+    assert os.path.isfile(tmp_path / name) and os.listdir(tmp_path) == [name]
+    got = files.read(spark, str(tmp_path / name))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(FileExistsError):
+        files.write(df, str(tmp_path / name), options=files.FormatOptions(single_file=True), mode="errorifexists")
+
+
+def test_csv_line_breaks(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,"two\nlines"\n')
+    assert files.read(spark, str(tmp_path / "x.csv"), options=files.FormatOptions(options={"multiLine": True})).first()["b"] == "two\nlines"
+
+
 def test_formats(spark, tmp_path):
     assert files.file_type("a/b.PARQ") == "parquet" and files.file_type("x") is None and files.file_type("a.jsonl") == "jsonl"
     df = spark.range(3)
@@ -107,6 +134,59 @@ def test_jdbc(spark, tmp_path):
     assert databases.execute(spark, url, "DELETE FROM PEOPLE WHERE ID > 15") == [4]
 
 
+def test_update_statements():
+    for kind, want in (
+        ("postgresql", ['CREATE INDEX new_key ON s."new" ("id")', 'UPDATE s.people AS t SET "Name" = s."Name" FROM s."new" s WHERE t."id" = s."id"']),
+        ("mysql", ["UPDATE s.people t JOIN s.`new` s ON t.`id` = s.`id` SET t.`Name` = s.`Name`"]),
+    ):
+        staged = "s.`new`" if kind == "mysql" else 's."new"'
+        assert databases.update_statements(kind, "s.people", staged, ["Name"], ["id"]) == want
+
+
+@pytest.mark.parametrize(("table", "key", "name"), [("people", "ID", "NAME"), ('"Mixed"', "Id", "a name")])
+def test_update_with_any_names(spark, tmp_path, table, key, name):
+    url = f"jdbc:derby:{tmp_path}/derby;create=true"
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(20)], f"`{key}` int, `{name}` string")
+    databases.write_table(df, url, table, mode="overwrite")
+    changed = databases.changed_rows(databases.read_table(spark, url, table), Policy.of({name: {"strategy": "mask"}}), [key])
+    assert databases.update_by_key(spark, url, table, changed, [key]) == 20
+    assert {r[name] for r in databases.read_table(spark, url, table).collect()} == {"**", "***"}
+    with pytest.raises(Exception):
+        databases.update_by_key(spark, url, table, changed.withColumnRenamed(name, "absent"), [key])
+    assert len(databases.tables_of(spark, url)) == 1
+
+
+def test_process_database(spark, tmp_path):
+    source, target, mark = f"sqlite:///{tmp_path}/a.db", f"sqlite:///{tmp_path}/b.db", str(tmp_path / "mark.json")
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE users (id INTEGER, name TEXT)")
+        db.executemany("INSERT INTO users VALUES (?, ?)", [*((i, f"n{i}") for i in range(30)), (None, "null")])
+    policy, seen = Policy.of({"name": {"strategy": "hash"}}), []
+
+    def end(p):
+        seen.append(p)
+        if len(seen) == 3:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        databases.process_database(spark, source, "users", target, policy, mark, key="id", batches=5, on_batch=end)
+    with sqlite3.connect(tmp_path / "b.db") as db:  # half of the next range, as if the run had ended there
+        db.execute("INSERT INTO users VALUES (13, 'left over')")
+    done = databases.process_database(spark, source, "users", target, policy, mark, key="id", batches=5)
+    assert (done.done, done.of, done.rows) == (6, 6, 31) and seen[1].seconds_left > 0
+    rows = databases.read_table(spark, target, "users").collect()
+    assert len(rows) == 31 and {len(r["name"]) for r in rows} == {64}
+
+
+def test_sqlite_without_row_numbers(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("CREATE TABLE t (k TEXT PRIMARY KEY, v TEXT) WITHOUT ROWID")
+        db.execute("INSERT INTO t VALUES ('a', 'b')")
+        db.execute("CREATE VIEW w AS SELECT * FROM t")
+    for name in ("t", "w"):
+        assert [tuple(r) for r in databases.read_table(spark, f"sqlite:///{tmp_path}/x.db", name).collect()] == [("a", "b")]
+
+
 def test_stream_resumes(spark, tmp_path):
     source, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     policy = Policy.of({"name": {"strategy": "hash"}})
@@ -125,6 +205,22 @@ def test_stream_batches(spark, tmp_path):
     assert seen == [(0, 1)] and spark.read.parquet(str(tmp_path / "out")).first()["name"] == "*"
 
 
+def test_stream_quarantine_and_totals(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(f"a{i}", i)], "name string, i int").write.mode("append").parquet(str(tmp_path / "in"))
+    policy = Policy.of({"name": {"strategy": "hash"}})
+    bad = Policy.of({"name": {"strategy": "hash"}})
+    object.__setattr__(bad, "apply", lambda df: df.select("no_such_column"))
+    options = runs.StreamOptions(files_per_batch=1, tries=2, continue_on_error=True)
+    source = lambda: runs.stream(spark, str(tmp_path / "in"), "name string, i int", options=options)
+    got = runs.finish(runs.anonymize_stream(source(), bad, str(tmp_path / "o"), str(tmp_path / "m"), options=options, quarantine=str(tmp_path / "q")))
+    kept = spark.read.json(str(tmp_path / "q"))
+    assert got["rows_processed"] == 3 and got["batches_processed"] == 3 and sorted(r["name"] for r in kept.collect()) == ["a0", "a1", "a2"]
+    query = runs.anonymize_stream(source(), policy, str(tmp_path / "o2"), str(tmp_path / "m2"), options=options)
+    runs.finish(query)
+    assert runs.progress(query, spark).rows == 3 and runs.progress(query, spark).seconds_left(6) > 0
+
+
 def test_facade(spark, people, tmp_path):
     assert api.detect_pii(people, spark) == {"name": "name", "email": "email"}
     dry = api.anonymize(people, dry_run=True, spark=spark, columns=["email"])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.functions.keyed import below, choice, digits, hexes, let, number
+from veil.functions.keyed import below, choice, digits, hexes, let, number, pick, text
 
 FIRST = ("Ada", "Ben", "Clara", "David", "Elena", "Felix", "Greta", "Hugo", "Iris", "Jonas", "Karin", "Leo", "Mara", "Nils", "Olga", "Paul", "Quinn", "Rosa", "Simon", "Tara", "Uwe", "Vera", "Willem", "Xenia", "Yann", "Zoe")
 LAST = ("Abel", "Baker", "Costa", "Duran", "Engel", "Fischer", "Garcia", "Hansen", "Ivanov", "Jensen", "Keller", "Lopez", "Moreau", "Novak", "Olsen", "Peters", "Quist", "Rossi", "Santos", "Torres", "Unger", "Vidal", "Weber", "Young", "Ziegler")
@@ -49,6 +49,21 @@ def retail_digit(body: Column, n: int) -> Column:
     return _check_digit(body, n, lambda d, i: F.when(i % 2 == 0, d * 3).otherwise(d))
 
 
+def _other(made: Column, v: Column, options: tuple[str, ...], index: Column) -> Column:
+    """made, or the next of few options where it is the value itself."""
+    return F.when(made == text(v), pick(options, index + 1)).otherwise(made)
+
+
+def _word(options: tuple[str, ...], salt: int) -> Fake:
+    """One of few words, never the value itself."""
+
+    def make(s: object, d: str, v: Column) -> Column:
+        index = number(s, d, v, salt)
+        return _other(pick(options, index), v, options, index)
+
+    return make
+
+
 def _first(s: object, d: str, v: Column) -> Column:
     return choice(s, d, v, FIRST, 1)
 
@@ -58,7 +73,8 @@ def _last(s: object, d: str, v: Column) -> Column:
 
 
 def _name(s: object, d: str, v: Column) -> Column:
-    return F.concat(_first(s, d, v), F.lit(" "), _last(s, d, v))
+    whole = F.concat(_first(s, d, v), F.lit(" "), _last(s, d, v))
+    return F.when(whole == text(v), F.concat(_first(s, d, v), F.lit(" "), pick(LAST, number(s, d, v, 2) + 1))).otherwise(whole)
 
 
 def _username(s: object, d: str, v: Column) -> Column:
@@ -139,8 +155,8 @@ def _birth(s: object, d: str, v: Column) -> Column:
 GENERATORS: dict[str, Fake] = {
     "name": _name,
     "full_name": _name,
-    "first_name": _first,
-    "last_name": _last,
+    "first_name": _word(FIRST, 1),
+    "last_name": _word(LAST, 2),
     "email": _email,
     "phone": _phone,
     "uuid": _uuid,
@@ -151,20 +167,20 @@ GENERATORS: dict[str, Fake] = {
     "url": lambda s, d, v: F.concat(F.lit("https://"), _domain(s, d, v), F.lit("/"), choice(s, d, v, WORDS, 17)),
     "username": _username,
     "password": lambda s, d, v: F.concat(choice(s, d, v, WORDS, 18), F.lit("-"), hexes(s, d, v, 10, 19)),
-    "user_agent": lambda s, d, v: choice(s, d, v, AGENTS, 40),
-    "job_title": lambda s, d, v: choice(s, d, v, JOBS, 41),
+    "user_agent": _word(AGENTS, 40),
+    "job_title": _word(JOBS, 41),
     "mac": _mac,
     "vin": _vin,
     "imei": _checked(14, "35", luhn_digit, 42),
     "ean13": _checked(12, "2", retail_digit, 43),
     "isbn13": _checked(12, "978", retail_digit, 44),
     "upca": _checked(11, "", retail_digit, 45),
-    "tld": lambda s, d, v: choice(s, d, v, TLDS, 46),
+    "tld": _word(TLDS, 46),
     "ssn": _ssn,
     "credit_card": _card,
     "address": lambda s, d, v: F.concat((below(s, d, v, 999, 47) + 1).cast("string"), F.lit(" "), choice(s, d, v, STREETS, 48)),
-    "city": lambda s, d, v: choice(s, d, v, CITIES, 49),
-    "country": lambda s, d, v: choice(s, d, v, COUNTRIES, 55),
+    "city": _word(CITIES, 49),
+    "country": _word(COUNTRIES, 55),
     "zip": lambda s, d, v: digits(s, d, v, 5, 56),
     "company": lambda s, d, v: F.concat(_last(s, d, v), F.lit(" "), choice(s, d, v, COMPANIES, 57)),
     "ip_address": _ipv4,

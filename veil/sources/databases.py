@@ -7,14 +7,21 @@ changed rows are written where a key is given to ``changed_rows``.
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import sqlite3
-from collections.abc import Iterator, Mapping, Sequence
+import time
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import suppress
+from dataclasses import dataclass
 from typing import Any
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -91,7 +98,7 @@ def write_table(df: DataFrame, url: str, table: str, *, mode: str = "append", ba
         df = df.coalesce(1)  # SQLite has one writer
     else:
         base["batchsize"] = str(batch_rows)
-    df.write.format(form).mode(mode).options(**base, **options).option("dbtable", table).save()
+    df.write.format(form).mode(mode).options(**base, **options).option("collection" if form == "mongodb" else "dbtable", table).save()
 
 
 def _need(spark: SparkSession, form: str) -> None:
@@ -152,14 +159,112 @@ def tables_of(spark: SparkSession, url: str, schema: str | None = None) -> list[
         db.close()
 
 
+def dialect(url: str) -> str:
+    """The database kind of a JDBC or other URL."""
+    return url.split(":")[1] if url.startswith("jdbc:") else SCHEMES.get(urlsplit(url).scheme, "")
+
+
+def update_statements(kind: str, table: str, staged: str, columns: Sequence[str], key: Sequence[str]) -> list[str]:
+    """Statements that take columns over from a staged table by the whole key, the update last.
+
+    table and staged stand as they are, as in any SQL text; columns are quoted as the database does.
+    """
+    q = lambda name: quoted(name.replace(".", "\0"), "`" if kind in ("mysql", "mariadb") else '"').replace("\0", ".")
+    index = f"CREATE INDEX {staged.rpartition('.')[2].strip('`').strip(chr(34))}_key ON {staged} ({', '.join(map(q, key))})"
+    if kind in ("mysql", "mariadb"):
+        return [f"UPDATE {table} t JOIN {staged} s ON {' AND '.join(f't.{q(k)} = s.{q(k)}' for k in key)} SET {', '.join(f't.{q(c)} = s.{q(c)}' for c in columns)}"]
+    if kind == "postgresql":
+        return [index, f"UPDATE {table} AS t SET {', '.join(f'{q(c)} = s.{q(c)}' for c in columns)} FROM {staged} s WHERE {' AND '.join(f't.{q(k)} = s.{q(k)}' for k in key)}"]
+    same = " AND ".join(f"s.{q(k)} = {table}.{q(k)}" for k in key)
+    sets = ", ".join(f"{q(c)} = (SELECT s.{q(c)} FROM {staged} s WHERE {same})" for c in columns)
+    return [index, f"UPDATE {table} SET {sets} WHERE EXISTS (SELECT 1 FROM {staged} s WHERE {same})"]
+
+
 def update_by_key(spark: SparkSession, url: str, table: str, changed: DataFrame, key: Sequence[str]) -> int:
-    """Writes changed rows (see ``changed_rows``) beside the table, and takes them over by the whole key in one statement."""
-    staged = f"{table}_VEIL_NEW"
-    write_table(changed, url, staged, mode="overwrite")
-    same = " AND ".join(f"s.{quoted(k)} = {quoted(table)}.{quoted(k)}" for k in key)
-    sets = ", ".join(f"{quoted(c)} = (SELECT s.{quoted(c)} FROM {quoted(staged)} s WHERE {same})" for c in changed.columns if c not in key)
-    n, _ = execute(spark, url, f"UPDATE {quoted(table)} SET {sets} WHERE EXISTS (SELECT 1 FROM {quoted(staged)} s WHERE {same})", f"DROP TABLE {quoted(staged)}")
-    return n
+    """Writes changed rows (see ``changed_rows``) beside the table, and takes them over by the whole key in one statement.
+
+    The table's name is SQL text, as in ``read_table``: a name that needs quotes comes with them.
+    """
+    kind = dialect(url)
+    schema, dot, _ = table.rpartition(".")
+    staged = f"{schema}{dot}{quoted(f'veil_new_{uuid.uuid4().hex[:12]}', '`' if kind in ('mysql', 'mariadb') else chr(34))}"
+    try:
+        write_table(changed, url, staged, mode="append")
+        return execute(spark, url, *update_statements(kind, table, staged, [c for c in changed.columns if c not in key], key))[-1]
+    finally:
+        with suppress(Exception):  # it may not be there yet
+            execute(spark, url, f"DROP TABLE {staged}")
+
+
+@dataclass(frozen=True)
+class Progress:
+    """How far a run over a table's key ranges has come; seconds_left is by the pace so far."""
+
+    done: int
+    of: int
+    rows: int
+    seconds: float
+
+    @property
+    def rows_per_second(self) -> float:
+        return self.rows / self.seconds if self.seconds else 0.0
+
+    @property
+    def seconds_left(self) -> float:
+        return self.seconds / self.done * (self.of - self.done) if self.done else float("inf")
+
+
+def process_database(spark: SparkSession, source: str, table: str, target: str, policy: Policy | Mapping[str, Any], checkpoint: str, *, key: str, target_table: str | None = None, batches: int = 32, tries: int = 3, on_batch: Callable[[Progress], None] | None = None) -> Progress:
+    """A table through a policy in ranges of a numeric key, with a checkpoint file from which a run that was ended goes on.
+
+    The ranges are kept in the checkpoint, so they are the same in each run.  A range is deleted from the target before it is written, so one that was half done is not there twice.
+    Rows with a null key are a range of their own.
+    """
+    own = policy if isinstance(policy, Policy) else Policy.of(policy)
+    to, name = target_table or table, f"`{key}`"
+    fs, at = pafs.FileSystem.from_uri(checkpoint) if "://" in checkpoint else (pafs.LocalFileSystem(), checkpoint)
+    df = read_table(spark, source, table)
+    if fs.get_file_info(at).type == pafs.FileType.NotFound:
+        low, high = df.agg(F.min(name), F.max(name)).first()
+        low, high = (0, -1) if low is None else (math.floor(low), math.floor(high))
+        step = max(1, -(-(high - low + 1) // batches))
+        state = {"ranges": [None, *([a, a + step] for a in range(low, high + 1, step))], "done": 0, "rows": 0, "seconds": 0.0}
+    else:
+        with fs.open_input_stream(at) as f:
+            state = json.loads(f.read())
+    there = to in (sqlite_tables(connection(target)[1]["path"]) if dialect(target) == "sqlite" else tables_of(spark, target))
+    for i in range(state["done"], len(state["ranges"])):
+        span = state["ranges"][i]
+        rows = df.where(F.col(name).isNull()) if span is None else df.where((F.col(name) >= span[0]) & (F.col(name) < span[1]))
+        began = time.monotonic()
+        for attempt in range(tries):
+            try:
+                if there:
+                    _delete_range(spark, target, to, key, span)
+                seen = Observation()
+                write_table(own.apply(rows).observe(seen, F.count(F.lit(1)).alias("n")), target, to)
+                break
+            except Exception:
+                if attempt + 1 == tries:
+                    raise
+        there = True
+        state |= {"done": i + 1, "rows": state["rows"] + seen.get["n"], "seconds": state["seconds"] + time.monotonic() - began}
+        with fs.open_output_stream(f"{at}.new") as f:
+            f.write(json.dumps(state).encode())
+        fs.move(f"{at}.new", at)
+        if on_batch:
+            on_batch(Progress(state["done"], len(state["ranges"]), state["rows"], state["seconds"]))
+    return Progress(state["done"], len(state["ranges"]), state["rows"], state["seconds"])
+
+
+def _delete_range(spark: SparkSession, url: str, table: str, key: str, span: Sequence[int] | None) -> None:
+    if dialect(url) == "sqlite":
+        where = f"{quoted(key)} IS NULL" if span is None else f"{quoted(key)} >= {span[0]} AND {quoted(key)} < {span[1]}"
+        with sqlite3.connect(connection(url)[1]["path"], timeout=60) as db:
+            db.execute(f"DELETE FROM {quoted(table)} WHERE {where}")
+        return
+    q = quoted(key, "`" if dialect(url) in ("mysql", "mariadb") else '"')
+    execute(spark, url, f"DELETE FROM {table} WHERE " + (f"{q} IS NULL" if span is None else f"{q} >= {span[0]} AND {q} < {span[1]}"))
 
 
 def anonymize_tables(spark: SparkSession, source: str, target: str, policies: Mapping[str, Policy | Mapping[str, Any]], *, mode: str = "overwrite", **options: Any) -> dict[str, list[str]]:
@@ -214,9 +319,12 @@ class _SqliteReader(DataSourceReader):
         if "query" in self.options:
             return [_Rows(-1, -1)]
         with sqlite3.connect(self.options["path"]) as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self._from()}").fetchone()
-        if low is None:
-            return [_Rows(0, -1)]
+            try:
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self._from()}").fetchone()
+            except sqlite3.OperationalError:  # a table without row numbers, or a view: one part
+                return [_Rows(-1, -2)]
+            if not (isinstance(low, int) and isinstance(high, int)):
+                return [_Rows(-1, -2)]
         step = max(1, -(-(high - low + 1) // int(self.options.get("splits", 8))))
         return [_Rows(a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
 
@@ -225,7 +333,8 @@ class _SqliteReader(DataSourceReader):
 
         names, arrow = [f.name for f in self.schema.fields], to_arrow_schema(self.schema)
         sql = f"SELECT {', '.join(map(quoted, names))} FROM {self._from()}"
-        span = () if partition.low == -1 and partition.high == -1 and "query" in self.options else (partition.low, partition.high)
+        whole = "query" in self.options or (partition.low, partition.high) == (-1, -2)
+        span = () if whole else (partition.low, partition.high)
         with sqlite3.connect(self.options["path"]) as db:
             cursor = db.execute(sql + (" WHERE rowid BETWEEN ? AND ?" if span else ""), span)
             while rows := cursor.fetchmany(int(self.options.get("fetchsize", 10_000))):

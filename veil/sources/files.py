@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import importlib.util
+import io
 import re
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -29,6 +32,8 @@ class FormatOptions:
     compression_level: int | None = None
     encoding: str = "utf-8"
     batch_rows: int = 10_000
+    #: One file instead of a folder of files: written in parts, then joined.
+    single_file: bool = False
     options: Mapping[str, Any] = field(default_factory=dict)
 
 
@@ -53,7 +58,8 @@ Writer = Callable[[DataFrame, str, FormatOptions, str], None]
 
 def _read_csv(sep: str) -> Reader:
     def read(spark: SparkSession, path: str, o: FormatOptions) -> DataFrame:
-        base = {"header": True, "sep": sep, "encoding": o.encoding, "inferSchema": False, "mode": "PERMISSIVE", "multiLine": True, "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+        """Large files are split; the option multiLine reads values that hold line breaks, a file in one task then."""
+        base = {"header": True, "sep": sep, "encoding": o.encoding, "inferSchema": False, "mode": "PERMISSIVE", "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
         return spark.read.options(**{**base, **o.options}).csv(path).fillna("")
 
     return read
@@ -122,10 +128,19 @@ def _builtin(name: str, **base: Any) -> tuple[Reader, Writer]:
     return read, write
 
 
+def _read_json(spark: SparkSession, path: str, o: FormatOptions) -> DataFrame:
+    """A JSON document is one value over many lines; a folder holds lines, as Spark writes them."""
+    try:
+        folder = _store(path)[0].get_file_info(_store(path)[1]).type == pafs.FileType.Directory
+    except Exception:  # a store that only Spark knows
+        folder = False
+    return spark.read.options(**{"multiLine": not folder, **o.options}).json(path)
+
+
 _formats: dict[str, tuple[Reader, Writer]] = {
     "csv": (_read_csv(","), _write_csv(",")),
     "tsv": (_read_csv("\t"), _write_csv("\t")),
-    "json": _builtin("json", multiLine=True),
+    "json": (_read_json, _builtin("json")[1]),
     "jsonl": _builtin("json"),
     "parquet": (_builtin("parquet")[0], _write_parquet),
     "orc": _builtin("orc"),
@@ -162,23 +177,95 @@ def read(spark: SparkSession, path: str, format: str | None = None, options: For
 
 
 def write(df: DataFrame, path: str, format: str | None = None, options: FormatOptions | None = None, mode: str = "overwrite") -> None:
-    _format(path, format)[1](df, path, options or FormatOptions(), mode)
+    o = options or FormatOptions()
+    if o.single_file:
+        _write_single(df, path, {"pq": "parquet", "xlsx": "excel", "xls": "excel"}.get(format or "", format) or file_type(path), o, mode)
+    else:
+        _format(path, format)[1](df, path, o, mode)
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _remove(fs: pafs.FileSystem, at: str) -> None:
+    kind = fs.get_file_info(at).type
+    if kind == pafs.FileType.Directory:
+        fs.delete_dir(at)
+    elif kind == pafs.FileType.File:
+        fs.delete_file(at)
+
+
+#: Formats whose files can be joined end to end.
+JOINED = {"csv": ",", "tsv": "\t", "json": None, "jsonl": None, "text": None}
+
+
+def _write_single(df: DataFrame, path: str, kind: str | None, o: FormatOptions, mode: str) -> None:
+    """One file at path, put there when it is whole; formats of lines are written by all tasks and joined in order."""
+    fs, at = _store(path)
+    if mode not in ("overwrite", "errorifexists", "error"):
+        raise UnsupportedFormatError(f"one file can't be written in mode {mode!r}")
+    if mode != "overwrite" and fs.get_file_info(at).type != pafs.FileType.NotFound:
+        raise FileExistsError(path)
+    if kind == "excel":
+        return _format(path, kind)[1](df, path, o, mode)
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    inside, whole = _store(parts)[1], f"{at}.whole-{uuid.uuid4().hex}"
+    try:
+        if kind in ("csv", "tsv"):
+            _format(path, kind)[1](df, parts, replace(o, options={**o.options, "header": False}), "overwrite")
+        else:
+            _format(path, kind)[1](df if kind in JOINED else df.coalesce(1), parts, o, "overwrite")
+        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(inside)) if f.path.rpartition("/")[2].startswith("part-"))
+        if kind not in JOINED and len(files) == 1:
+            fs.move(files[0], whole)
+        else:
+            with fs.open_output_stream(whole) as out:
+                if kind in ("csv", "tsv") and str(o.options.get("header", True)).lower() != "false":
+                    line = io.StringIO()
+                    csv.writer(line, delimiter=o.options.get("sep", JOINED[kind]), lineterminator="\n").writerow(df.columns)
+                    out.write(line.getvalue().encode(o.encoding))
+                lines, first = kind == "json", True  # which are written as one list
+                out.write(b"[" if lines else b"")
+                for f in files:
+                    with fs.open_input_stream(f) as part:
+                        held = b""
+                        while some := part.read(1 << 22):
+                            held += some
+                            whole_lines, end, held = held.rpartition(b"\n") if lines else (held, b"", b"")
+                            if whole_lines:
+                                out.write((b"" if first or not lines else b",\n") + (whole_lines.replace(b"\n", b",\n") if lines else whole_lines))
+                                first = False
+                out.write(b"]\n" if lines else b"")
+        _remove(fs, at)
+        fs.move(whole, at)
+    finally:
+        _remove(fs, inside)
+        _remove(fs, whole)
 
 
 def changed_counts(before: DataFrame, policy: Policy) -> tuple[DataFrame, Observation]:
     """The rewritten rows, and an observation of rows, of values that changed, and of configured fields times rows."""
     made = policy.columns(before.schema)
     seen = Observation("veil")
-    changed = sum((F.when(F.col(f"`{n}`").cast("string").eqNullSafe(c.cast("string")), 0).otherwise(1) for n, c in made.items()), F.lit(0))
-    counted = before.withColumn("veil_changed", changed).observe(seen, F.count(F.lit(1)).alias("records_processed"), F.coalesce(F.sum("veil_changed"), F.lit(0)).alias("values_changed"))
-    return counted.withColumns(made).drop("veil_changed"), seen
+    mark = f"veil_{uuid.uuid4().hex}"  # each value is made once, beside the old one
+    both = before.withColumns({f"{mark}_{i}": c for i, c in enumerate(made.values())})
+    old = {n: F.col(f"`{n}`").cast("string") for n in made}
+    changed = sum((F.when(old[n].eqNullSafe(F.col(f"{mark}_{i}").cast("string")), 0).otherwise(1) for i, n in enumerate(made)), F.lit(0))
+    counted = both.observe(seen, F.count(F.lit(1)).alias("records_processed"), F.coalesce(F.sum(changed), F.lit(0)).alias("values_changed"))
+    new = {n: F.col(f"{mark}_{i}").alias(n) for i, n in enumerate(made)}
+    return counted.select(*(new.get(n, F.col(f"`{n}`")) for n in before.columns), *(c for n, c in new.items() if n not in before.columns)), seen
 
 
-def anonymize_file(spark: SparkSession, source: str, target: str, policy: Policy | Mapping[str, Any], *, format: str | None = None, options: FormatOptions | None = None, mapping: Mapping[str, str] | None = None, nested: bool | None = None, overwrite: bool = True) -> dict[str, int]:
+def anonymize_file(spark: SparkSession, source: str, target: str, policy: Policy | Mapping[str, Any], *, format: str | None = None, options: FormatOptions | None = None, mapping: Mapping[str, str] | None = None, nested: bool | None = None, overwrite: bool = True, single_file: bool | None = None) -> dict[str, int]:
     """Reads, rewrites and writes; returns rows processed, fields rewritten and values changed.
 
     mapping: column of the file to field of the policy.  nested: policy fields are paths (the default for json).
+    single_file: a file comes out, not a folder (the default where a file goes in and the target's name has an extension).
     """
+    if single_file is None:
+        single_file = file_type(target) is not None and _is_file(source)
+    options = replace(options or FormatOptions(), single_file=single_file)
     if not isinstance(policy, Policy):
         if faults := validate(policy):
             raise PolicyError("; ".join(faults))
@@ -199,19 +286,30 @@ def anonymize_file(spark: SparkSession, source: str, target: str, policy: Policy
     return {"records_processed": got["records_processed"], "fields_anonymized": fields * got["records_processed"], "values_changed": got["values_changed"], "errors": 0}
 
 
+def _is_file(path: str) -> bool:
+    try:
+        fs, at = _store(path)
+        return fs.get_file_info(at).type == pafs.FileType.File
+    except Exception:  # a store that only Spark knows
+        return False
+
+
 def anonymize_in_place(spark: SparkSession, path: str, policy: Policy | Mapping[str, Any], *, backup: bool = True, **options: Any) -> dict[str, int]:
-    """Rewrites a path through a folder beside it; the old data stay beside it too if backup."""
-    stats = anonymize_file(spark, path, f"{path}.veil-new", policy, format=options.pop("format", None) or file_type(path), **options)
-    fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    fs.move(at, f"{at}.bak")
+    """Rewrites a path (a file stays a file) through one beside it; the old data stay as .bak, .bak.1, ... if backup."""
+    fs, at = _store(path)
+    new, old = f"{at}.veil-new", next(n for n in (f"{at}.bak{f'.{i}' if i else ''}" for i in range(1 << 20)) if fs.get_file_info(n).type == pafs.FileType.NotFound)
     try:
-        fs.move(f"{at}.veil-new", at)
-    except Exception:
-        fs.move(f"{at}.bak", at)
-        raise
+        stats = anonymize_file(spark, path, f"{path}.veil-new", policy, format=options.pop("format", None) or file_type(path), single_file=_is_file(path), **options)
+        fs.move(at, old)
+        try:
+            fs.move(new, at)
+        except Exception:
+            fs.move(old, at)
+            raise
+    finally:
+        _remove(fs, new)
     if not backup:
-        info = fs.get_file_info(f"{at}.bak")
-        (fs.delete_dir if info.type == pafs.FileType.Directory else fs.delete_file)(f"{at}.bak")
+        _remove(fs, old)
     return stats
 
 
