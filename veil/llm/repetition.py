@@ -3,15 +3,18 @@
 The words of many texts are put into one array of keys, each mixed with its
 text's number so that nothing is equal across texts, and sorted into one suffix
 array by prefix doubling; a round goes on with the suffixes alone that still
-share their rank.  The ranks of the rounds give the longest common prefixes of
-neighbours.  A suffix's deepest LCP interval is the larger of its two
-neighbouring values: its longest prefix that occurs elsewhere in the text.
+share their rank.  Longest common prefixes of neighbours are compared word by word
+only where they can't be told from the suffix a word earlier.  A suffix's deepest
+LCP interval is the larger of its two neighbouring values: its longest prefix
+that occurs elsewhere in the text.
 Those that can't be extended to the left are the maximal repeats; their spans
 are united, and a document is held against two limits, the part of its words
 that the spans cover and the longest repeat.
 
 Base measures that need no suffix array come from the same pass.
 
+Memory is linear in a text, some 150 bytes a word, whatever repeats in it.
+
 Cases: a null text has no words; a document without words fails the base rule;
 rows are judged one by one, so repeated rows get the same verdict; an empty
 table gives no rows; only the key and the text are read.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches, tidy
+from veil.llm._shared import bounded_batches, kept, tidy
 from veil.llm._text import SPACE, batches, chunks, mix, span_keys, sums, text_of, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -47,22 +50,22 @@ class Limits:
     longest_words: int = 50
 
 
-def suffix_array(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array of key (equal keys must be of one text), and the ranks by the first 1, 2, 4, ... words."""
+def suffix_array(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The suffix array of key; equal keys must be of one text."""
     n = len(key)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32 if n < 1 << 31 else np.int64)
     fresh = np.ones(n, bool)
     fresh[1:] = key[order[1:]] != key[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    levels, h = [rank], 1
+    rank = np.empty(n, order.dtype)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=order.dtype), 0))
+    h = 1
     while True:
         shared = ~fresh
         shared[:-1] |= ~fresh[1:]
         place = np.flatnonzero(shared)
         if not len(place):
-            return order, levels
-        own = order[place]
+            return order
+        own = order[place].astype(np.int64)
         after = np.minimum(own + h, n - 1)
         follow = np.where((own + h < n) & (text[after] == text[own]), rank[after] + 1, 0)
         sort = np.lexsort((follow, rank[own]))
@@ -71,34 +74,62 @@ def suffix_array(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list[np
         split = np.ones(len(own), bool)
         split[1:] = (rank[own[1:]] != rank[own[:-1]]) | (follow[1:] != follow[:-1])
         fresh[place] = split
-        rank = rank.copy()
         rank[own] = place[np.maximum.accumulate(np.where(split, np.arange(len(own)), 0))]
-        levels.append(rank)
         h *= 2
 
 
-def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """LCP of each suffix of the array with the one before it (0 for the first)."""
+def _extend(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words from a and from b on are equal, one pair at a time next to each other; the first ones are known to be."""
+    n, length, alive = len(key), np.ones(len(a), np.int64), np.arange(len(a))
+    while len(alive) > 64:
+        x, y = a[alive] + length[alive], b[alive] + length[alive]
+        inside = np.maximum(x, y) < n
+        alive, x, y = alive[inside], x[inside], y[inside]
+        alive = alive[key[x] == key[y]]
+        length[alive] += 1
+    for i in alive.tolist():  # few and perhaps long: by growing runs
+        x, y, run = int(a[i] + length[i]), int(b[i] + length[i]), 64
+        while max(x, y) < n:
+            run = min(run, n - max(x, y))
+            differ = key[x : x + run] != key[y : y + run]
+            if differ.any():
+                x += int(differ.argmax())
+                break
+            x, y, run = x + run, y + run, run * 2
+        length[i] = x - a[i]
+    return length
+
+
+def common_prefixes(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """LCP of each suffix of the array with the one before it (0 for the first), in memory linear in the words.
+
+    Where the words before a suffix and its neighbour are equal too, the LCP is one less than that of the suffix a word earlier; only the others are compared word by word, and their LCPs sum up to n log n at most.
+    """
     n = len(order)
-    out = np.zeros(n, np.int64)
     if not n:
-        return out
-    at = 1 + np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]])
-    a, b = order[at - 1], order[at]
-    lcp = np.zeros(len(at), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (a + lcp < n) & (b + lcp < n)
-        same = inside.copy()
-        same[inside] = levels[k][(a + lcp)[inside]] == levels[k][(b + lcp)[inside]]
-        lcp[same] += 1 << k
-    out[at] = lcp
-    return out
+        return np.zeros(0, np.int64)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    same = before >= 0
+    same[same] = key[before[same]] == key[np.flatnonzero(same)]
+    at = np.flatnonzero(same)
+    other = before[at]
+    apart = (at == 0) | (other == 0)
+    apart[~apart] = key[at[~apart] - 1] != key[other[~apart] - 1]
+    length = np.zeros(n, np.int64)
+    length[at[apart]] = _extend(key, at[apart], other[apart])
+    start = np.zeros(n, np.int64)
+    start[at[apart]] = at[apart]
+    start = np.maximum.accumulate(start)
+    follows = at[~apart]
+    length[follows] = length[start[follows]] - (follows - start[follows])
+    return length[order]
 
 
 def longest_repeats(key: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For each word, the length of the longest string of words from it on that starts elsewhere in its text too."""
-    order, levels = suffix_array(key, text)
-    lcp = common_prefixes(order, levels)
+    order = suffix_array(key, text)
+    lcp = common_prefixes(order, key)
     deepest = lcp.copy()
     deepest[:-1] = np.maximum(deepest[:-1], lcp[1:])
     out = np.empty(len(key), np.int64)
@@ -159,6 +190,7 @@ def quality(docs: DataFrame, limits: Limits | None = None, *, key: str = "doc_id
     taken = [rows.columns.index("text" if c == text else f"kept_{i}") for i, c in enumerate(keep)]  # the text travels once
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("quality")
         for part in parts:
             for a, b, data, offsets in batches(part.column(1), 1 << 20):
                 m = measures(data, offsets, limits)
