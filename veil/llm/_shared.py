@@ -78,6 +78,21 @@ def tidy() -> None:
         pass
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What a worker keeps between tasks of one operator; another operator's first task drops it.
+
+    Every function that runs in workers asks for it first, so a worker holds the tables of one operator at most.
+    """
+    if operator not in _kept:
+        _kept.clear()
+        tidy()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
 def row_name(key: Column, text: Column) -> Column:
     """128 bits that tell rows of differing key or text apart; null and empty texts are equal, null keys are a key of their own."""
     named = F.when(key.isNull(), F.lit("-")).otherwise(F.concat(F.length(key.cast("string")).cast("string"), F.lit("+"), key.cast("string")))

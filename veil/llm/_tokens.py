@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import regex
 
+from veil.llm._shared import kept
 from veil.llm._text import chunks, span_keys, sums, words
 
 # The pre-token patterns that the two tokenizer files state.
@@ -26,7 +27,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*")
 LATIN = regex.compile(r"[ ]?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
-KEPT_SPANS = 800_000
+KEPT_SPANS = 500_000
 KEPT_PRETOKENS = 200_000
 
 
@@ -54,9 +55,9 @@ class SpanTokenizer:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
+        self.slots = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
         self.pretokens: dict[str, list[int]] = {}
 
@@ -110,9 +111,9 @@ class SpanTokenizer:
             found = self._new([raw[start[i] : end[i]] for i in first[new].tolist()])
             count = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((x for f in found for x in f), np.uint32, int(count.sum()))
-            slot = len(self.starts) + np.arange(len(new))
+            slot = len(self.starts) + np.arange(len(new), dtype=np.int32)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(count) - count])
-            self.lengths = np.concatenate([self.lengths, count])
+            self.lengths = np.concatenate([self.lengths, count.astype(np.int32)])
             self.ids = np.concatenate([self.ids, flat])
             order = np.argsort(key[new])
             place = np.searchsorted(self.keys, key[new][order])
@@ -120,22 +121,19 @@ class SpanTokenizer:
             self.slots = np.insert(self.slots, place, slot[order])
             at = np.searchsorted(self.keys, key)
         slot = self.slots[at][code]
-        length = self.lengths[slot]
+        length = self.lengths[slot].astype(np.int64)
         total = int(length.sum())
         step = np.repeat(self.starts[slot] - (np.cumsum(length) - length), length)
         step += np.arange(total)
         return self.ids[step], sums(length, text, n)
 
 
-_kept: dict[str, SpanTokenizer] = {}
-
-
 def tokenizer(path: str) -> SpanTokenizer:
     """The worker's own tokenizer for this file."""
-    if path not in _kept:
-        _kept.clear()
-        _kept[path] = SpanTokenizer(path)
-    return _kept[path]
+    have = kept(f"tokens {path}")
+    if "tokenizer" not in have:
+        have["tokenizer"] = SpanTokenizer(path)
+    return have["tokenizer"]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

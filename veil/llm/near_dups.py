@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import Scratch, bounded_batches, by_likely, release, row_name, tidy
+from veil.llm._shared import Scratch, bounded_batches, by_likely, kept, release, row_name, tidy
 from veil.llm._text import LOWER, batches, chunks, mix, span_keys, sums, words
 
 
@@ -216,6 +216,7 @@ def signatures(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
     """row (128 bits of key and text), doc_id, n, high and low (the set's name), registers of each row."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near")
         for part in parts:
             for a, b, data, offsets in batches(part.column(1), 1 << 20):
                 owner, got = shingles(data, offsets, near.shingle)
@@ -247,6 +248,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, near: Near, key: str, text: str
     rows = by_likely(texts, "doc_id", nodes.select("doc_id"))[0].join(nodes.select("node", "doc_id", "high", "low"), "doc_id").select("text", "node", "high", "low")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near")
         for part in parts:
             for a, b, data, offsets in batches(part.column(0), 1 << 20):
                 owner, got = shingles(data, offsets, near.shingle)
@@ -292,6 +294,7 @@ def proposals(buckets: DataFrame, planes: DataFrame, near: Near) -> DataFrame:
     dealt = rows.select("bucket", "block", "node", "n", "planes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
 
     def star(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near")
         for table in _tables(parts, ("bucket", "block")):
             if table.num_rows < 2:
                 continue
@@ -326,6 +329,7 @@ def visits(buckets: DataFrame, planes: DataFrame, homes: DataFrame, near: Near)
     dealt = rows.select("bucket", "i", "j", "own", "node", "component", "members", "chunk", "n", "planes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near")
         for table in _tables(parts, ("bucket", "i", "j")):
             node, component, members, chunk, n, own = (table[c].to_numpy() for c in ("node", "component", "members", "chunk", "n", "own"))
             planes_ = _matrix(table["planes"], "<u8", width)
@@ -360,6 +364,7 @@ def met(guests: DataFrame, hosts: DataFrame, sets: DataFrame, near: Near, scratc
     dealt = roles.select(*by, "side", "node", "members").repartition(*by).sortWithinPartitions(*by, "side", "node")
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near")
         hosts_: list[tuple[int, np.ndarray]] = []
         own_none = np.zeros(0, np.uint64)
         index: tuple[np.ndarray, ...] = ()
@@ -428,6 +433,7 @@ def near_duplicates(docs: DataFrame, near: Near | None = None, *, key: str = "do
     release(spark)
 
     def bands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near")
         for part in parts:
             if part.num_rows:
                 keys = band_keys(_matrix(part["registers"], "<u2", near.registers), near)
@@ -435,6 +441,7 @@ def near_duplicates(docs: DataFrame, near: Near | None = None, *, key: str = "do
         tidy()
 
     def folded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near")
         for part in parts:
             if part.num_rows:
                 body = fold(_matrix(part["registers"], "<u2", near.registers), near)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches
+from veil.llm._shared import bounded_batches, kept
 from veil.llm._text import batches, chunks, mix, span_keys
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -107,13 +107,11 @@ class Pieces:
         return np.concatenate([*first, lone]), np.concatenate([*piece, self.byte_ids[data[lone]]])
 
 
-_kept: dict[tuple[str, float], Pieces] = {}
-
-
 def pieces_of(path: str, sharpness: float) -> Pieces:
-    if (path, sharpness) not in _kept:
-        _kept[path, sharpness] = Pieces(path, sharpness)
-    return _kept[path, sharpness]
+    have = kept(f"pieces {path}")
+    if sharpness not in have:
+        have[sharpness] = Pieces(path, sharpness)
+    return have[sharpness]
 
 
 class Lattice:
