@@ -2,10 +2,10 @@
 
 A word is the bag of its character n-grams, with marks at both ends, and the
 word as a whole; each has a row of an embedding table by hash.  A document is
-the average of the rows of its distinct words' bags (short ones padded with zero
-vectors, very long ones divided by no more than a bound), and a linear softmax
-over two classes reads it.  Embeddings and softmax are trained together in numpy by
-mini-batches with Adagrad.  A misspelling that was never seen shares most of its
+the average of the rows of its distinct words' bags and of ``padding`` zero
+vectors, which every bag holds, and a linear softmax over two classes reads it.
+Embeddings, zero at first, and softmax are trained together in numpy by
+mini-batches with Adagrad; an n-gram that training never met stays zero.  A misspelling that was never seen shares most of its
 n-grams, and so its vectors, with the word that was.
 
 Since the softmax is linear, a trained model is one number for each table row:
@@ -14,8 +14,9 @@ the sums of the words that they have met.
 
 Training reads a bounded sample of labelled rows (``Fit.toxic_rows`` and
 ``Fit.clean_rows`` of either class, the least by a hash of the key, weighted
-back to the classes' shares), each with its whole text; scoring reads every
-document's whole text.
+back to the classes' shares; of rows with one key, one), each with its whole
+text; scoring reads every document's whole text.  The parameters were chosen on a
+part of the rows that labels may be learnt from.
 
 Cases: null and empty texts have an empty bag and the bias alone as logit; a
 repeated key is scored row by row; of clashing labels for one key the greater
@@ -36,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches, tidy
+from veil.llm._shared import bounded_batches, kept, tidy
 from veil.llm._text import LOWER, batches, chunks, mix, span_keys, words
 
 #: Words whose sums a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Words whose n-grams are made together.
+RUN = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -49,15 +52,14 @@ class Fit:
     clean_rows: int = 4000
     rows: int = 1 << 16
     width: int = 4
-    #: A bag is averaged over its rows, but over no fewer and no more than these: short texts are padded with zero vectors, and long ones aren't thinned out.
-    least_rows: int = 1000
-    most_rows: int = 8000
+    #: Padding n-grams in every bag; their vector stays zero, so they draw short texts, of which little is known, to the bias.
+    padding: int = 1000
     least: int = 3
     most: int = 6
     #: Mini-batches in all, at every size; small samples are passed over more often.
     steps: int = 1500
     batch: int = 32
-    rate: float = 2.0
+    rate: float = 8.0
     seed: int = 11
     #: What a toxic row counts, beyond its class's share.
     toxic_weight: float = 4.0
@@ -106,8 +108,8 @@ def counted(data: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
     """The table rows in the bag of one text's distinct words, all of them, and how often each is in it; both in the least type that holds them."""
     total = np.zeros(fit.rows, np.int64)
     start, end, _, _ = distinct_words(data, np.array([0, len(data)]))
-    for at in range(0, len(start), 1 << 15):
-        total += np.bincount(bags(data, start[at : at + (1 << 15)], end[at : at + (1 << 15)], fit)[0], minlength=fit.rows)
+    for at in range(0, len(start), RUN):
+        total += np.bincount(bags(data, start[at : at + RUN], end[at : at + RUN], fit)[0], minlength=fit.rows)
     rows = np.flatnonzero(total)
     times = total[rows]
     return rows.astype(_row_type(fit)), times.astype(np.min_scalar_type(times.max(initial=0)))
@@ -127,7 +129,23 @@ class Model:
     bias: float
 
     def score(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(total / np.clip(n, self.fit.least_rows, self.fit.most_rows) + self.bias, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(total / (n + self.fit.padding) + self.bias, -50, 50)))
+
+
+def gradients(table: np.ndarray, softmax: np.ndarray, bias: np.ndarray, rows: np.ndarray, times: np.ndarray, size: np.ndarray, over: np.ndarray, labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the scaled cross-entropy of some documents: by table, softmax and bias.
+
+    rows and times are those of all documents, one after another, ``size`` of them each; over: what a document's sum is divided by.
+    """
+    mean = np.stack([np.add.reduceat(one[rows] * times, np.cumsum(size) - size) for one in table], 1) / over[:, None]
+    logit = mean @ softmax + bias
+    chance = np.exp(logit - logit.max(1, keepdims=True))
+    chance /= chance.sum(1, keepdims=True)
+    chance[np.arange(len(size)), labels] -= 1
+    error = chance * scale[:, None]
+    back = (error @ softmax.T / over[:, None]).astype(table.dtype)
+    up = np.stack([np.bincount(rows, np.repeat(back[:, j], size) * times, table.shape[1]) for j in range(len(table))])
+    return up, mean.T @ error, error.sum(0)
 
 
 def train(documents: list[tuple[np.ndarray, np.ndarray, int, float]], fit: Fit) -> Model:
@@ -139,7 +157,7 @@ def train(documents: list[tuple[np.ndarray, np.ndarray, int, float]], fit: Fit)
     if share in (0.0, 1.0):
         return Model(fit, np.zeros(fit.rows), 50.0 if share else -50.0)
     rng = np.random.default_rng(fit.seed)
-    table = (rng.random((fit.width, fit.rows), np.float32) - 0.5) / fit.width
+    table = np.zeros((fit.width, fit.rows), np.float32)
     softmax = (rng.random((fit.width, 2), np.float32) - 0.5) / fit.width
     bias = np.log([1 - share, share]).astype(np.float32)
     seen, seen_softmax, seen_bias = np.full(fit.rows, 1e-12, np.float32), np.full(softmax.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
@@ -155,17 +173,8 @@ def train(documents: list[tuple[np.ndarray, np.ndarray, int, float]], fit: Fit)
             rows = np.concatenate([documents[i][0] for i in chosen])
             times = np.concatenate([documents[i][1] for i in chosen]).astype(np.float32)
             size = np.array([len(documents[i][0]) for i in chosen])
-            begin = np.cumsum(size) - size
-            over = np.clip(bag_size[chosen], fit.least_rows, fit.most_rows)
-            mean = np.stack([np.add.reduceat(one[rows] * times, begin) for one in table], 1) / over[:, None]
-            logit = mean @ softmax + bias
-            chance = np.exp(logit - logit.max(1, keepdims=True))
-            chance /= chance.sum(1, keepdims=True)
-            chance[np.arange(len(chosen)), labels[chosen]] -= 1
-            error = chance * scale[chosen][:, None]
-            back = (error @ softmax.T / over[:, None]).astype(np.float32)
-            up = np.stack([np.bincount(rows, np.repeat(back[:, j], size) * times, fit.rows) for j in range(fit.width)])
-            up_softmax, up_bias = mean.T @ error, error.sum(0)
+            over = bag_size[chosen] + fit.padding
+            up, up_softmax, up_bias = gradients(table, softmax, bias, rows, times, size, over, labels[chosen], scale[chosen])
             seen_softmax += up_softmax**2
             seen_bias += up_bias**2
             seen += (up**2).mean(0)
@@ -187,6 +196,7 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit | None
     sample = F.broadcast(parts[0].unionAll(parts[1]))
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in rows:
             for a, b, data, offsets in batches(batch.column(1), 1 << 18):
                 pairs = [counted(data[i:j], fit) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -194,7 +204,8 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, fit: Fit | None
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *blobs], names=["doc_id", "label", "rows", "times"])
         tidy()
 
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
+    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(sample, "doc_id")
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     table = chosen.mapInArrow(read, "doc_id long, label int, rows binary, times binary").toArrow()
     ids, label_ = (table.column(i).to_pylist() for i in range(2))
     bags_ = [uncounted(r.as_buffer(), t.as_buffer(), fit) for r, t in zip(table.column(2), table.column(3), strict=True)]  # views of the table's own buffers
@@ -211,10 +222,11 @@ def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     taken = [rows.columns.index("text" if c == text else f"kept_{i}") for i, c in enumerate(keep)]  # the text travels once
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         model = shared.value
         known, total, size = pd.Index(np.zeros(0, np.uint64)), np.zeros(0), np.zeros(0, np.int64)
         for part in parts:
-            for a, b, data, offsets in batches(part.column(1), 2 << 20):
+            for a, b, data, offsets in batches(part.column(1), 1 << 20):
                 start, end, hashed, owner = distinct_words(data, offsets)
                 unit, first, code = np.unique(hashed, return_index=True, return_inverse=True)
                 if len(known) > KEPT_WORDS:
@@ -222,10 +234,11 @@ def scored(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
                 at = known.get_indexer(unit)
                 new = np.flatnonzero(at < 0)
                 if len(new):
-                    got, n = bags(data, start[first[new]], end[first[new]], model.fit)
                     at[new] = len(total) + np.arange(len(new))
-                    total = np.concatenate([total, np.add.reduceat(model.margin[got], np.cumsum(n) - n)])
-                    size = np.concatenate([size, n])
+                    begin, stop = start[first[new]], end[first[new]]
+                    for i in range(0, len(new), RUN):
+                        got, n = bags(data, begin[i : i + RUN], stop[i : i + RUN], model.fit)
+                        total, size = np.concatenate([total, np.add.reduceat(model.margin[got], np.cumsum(n) - n)]), np.concatenate([size, n])
                     known = known.append(pd.Index(unit[new]))
                 at = at[code]
                 score_ = model.score(np.bincount(owner, total[at], b - a), np.bincount(owner, size[at], b - a)) if len(at) else model.score(np.zeros(b - a), np.zeros(b - a))
