@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._shared import Scratch, bounded_batches, by_likely, release, tidy
+from veil.llm._shared import Scratch, bounded_batches, by_likely, kept, release, tidy
 from veil.llm._text import batches, chunks, mix, span_keys
 
 
@@ -67,7 +67,7 @@ class Repeats:
     collection: int = 8_192
     widest: int = 4_096
     #: Bytes of a text that are read together.
-    part: int = 1 << 22
+    part: int = 1 << 20
 
 
 _PLACE = np.uint64((1 << 28) - 1)
@@ -224,6 +224,7 @@ def _collections(documents: DataFrame, rule: Repeats) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(table[c].to_numpy()[row]) for c in NAME), pa.array(low), pa.array(high)], names=[*NAME, "begin", "end"])
 
     def order(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats")
         waiting: list[pa.RecordBatch] = []
         held = 0
         for part in parts:
@@ -251,6 +252,7 @@ def _split(documents: DataFrame, rule: Repeats) -> DataFrame:
     """Parts of the documents of wide groups: whose they are, where their windows begin in it, and the documents that they are."""
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats")
         for part in parts:
             out: list[tuple] = []
             columns = (part[c].to_pylist() for c in (*NAME, "times", "before", "ahead", "behind"))
@@ -300,7 +302,7 @@ def repeated_spans(rows: DataFrame, rule: Repeats, scratch: Scratch) -> DataFram
 
     def parts_of(column: pa.Array) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
         """Runs of texts, and overlapping parts of longer ones with the place where they begin."""
-        for a, b, data, offsets in batches(column, 1 << 20):
+        for a, b, data, offsets in batches(column, 1 << 19):
             if b - a > 1 or len(data) <= rule.part:
                 yield a, b, 0, data, offsets
             else:
@@ -309,12 +311,14 @@ def repeated_spans(rows: DataFrame, rule: Repeats, scratch: Scratch) -> DataFram
                     yield a, b, at, some, np.array([0, len(some)])
 
     def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats")
         for part in parts:
             for _, _, _, data, offsets in parts_of(part.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(segments(data, offsets, rule, False)[0])], names=["anchor"])
         tidy()
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats")
         for part in parts:
             for a, b, at, data, offsets in parts_of(part.column(1)):
                 anchor, text, first, many, before, high, low = segments(data, offsets, rule)
@@ -332,16 +336,23 @@ def repeated_spans(rows: DataFrame, rule: Repeats, scratch: Scratch) -> DataFram
     wanted = scratch.table(kinds.select("at.row", "at.first", *NAME, "many", "before", "times"), "kinds")
 
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats")
         for part in parts:
-            first, many = part["first"].to_numpy(), part["many"].to_numpy().astype(np.int64)
-            bodies = [memoryview(t.as_buffer())[f : f + k + rule.length - 1].tobytes() for t, f, k in zip(part["body"], first.tolist(), many.tolist(), strict=True)]
-            none = pa.array(np.zeros(part.num_rows, np.int16))
-            yield pa.RecordBatch.from_arrays([*(part[c] for c in (*NAME, "times", "before")), none, none, pa.array(bodies, pa.binary())], names=[*NAME, "times", "before", "ahead", "behind", "body"])
+            for one, found in zip(part["body"], part["wanted"], strict=True):
+                text, segment = memoryview(one.as_buffer()), found.values
+                for at in range(0, len(segment), 1 << 13):
+                    own = segment.slice(at, 1 << 13)
+                    first, many = own.field("first").to_pylist(), own.field("many").to_pylist()
+                    bodies = [text[f : f + k + rule.length - 1].tobytes() for f, k in zip(first, many, strict=True)]
+                    none = pa.array(np.zeros(len(own), np.int16))
+                    yield pa.RecordBatch.from_arrays([*(own.field(c) for c in (*NAME, "times", "before")), none, none, pa.array(bodies, pa.binary())], names=[*NAME, "times", "before", "ahead", "behind", "body"])
         tidy()
 
     texts = by_likely(rows.select("row", "body"), "row", wanted.select("row"))[0]
     schema = "anchor long, high long, low long, times long, before short, ahead short, behind short, body binary"
-    documents = scratch.table(texts.join(wanted, "row").mapInArrow(take, schema), "documents")
+    # a text's segments in one list, no longer than the text: each text goes to a worker once
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "many", *NAME, "times", "before")).alias("wanted"))
+    documents = scratch.table(texts.join(lists, "row").select("body", "wanted").mapInArrow(take, schema), "documents")
     release(spark)
     scratch.drop(wanted)
     runs = scratch.table(repeated_runs(documents, rule, scratch), "runs")
@@ -369,6 +380,7 @@ def remove_repeats(docs: DataFrame, rule: Repeats | None = None, *, key: str = "
     spans = repeated_spans(rows, rule, scratch)
 
     def remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats")
         for part in parts:
             out: dict[str, list] = {"n_removed": [], "n_spans": [], "cut": []}
             for one, found in zip(part["body"], part["spans"], strict=True):
