@@ -88,7 +88,8 @@ def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veil.llm.token_store import read_digests, write_store
 
-    return read_digests(spark, write_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2))
+    docs = table(spark, sf_dir, "documents")
+    return read_digests(spark, write_store(docs, tokenizer_path("byte_bpe_50k.json"), 2), docs)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,18 @@
 """Token ids of documents in shard files with a minimal perfect hash index.
 
 ``write_store`` encodes documents in ascending key order and writes one file per
-range of keys.  A file holds the raw ids, then an index: a minimal perfect hash
-over the file's keys (levels of bit vectors; a key takes the first level in
-which no other key has its bit, and the rank of that bit is its slot), and by
-slot a 32-bit fingerprint of the key, its first row and its number of rows.  A
-lookup is constant time; the fingerprint turns away foreign keys but for one in
-four thousand million.
+range of keys.  A file holds the raw ids, the edges of its rows in them, and an
+index: a minimal perfect hash over the file's keys (levels of bit vectors; a key
+takes the first level in which no other key has its bit, and the rank of that bit
+is its slot) with the rank of each 64-bit word beside the word, and by slot an
+entry of 32 bytes: a 32-bit fingerprint of the key, its number of rows, its first
+row, and where the first row's ids begin and end.  Keys themselves are not
+stored: the fingerprint turns away foreign keys but for one in four thousand
+million.
+
+A lookup reads the same few pieces at any size of a file: its head, 16 bytes for
+each level that it tries (two at most for nine keys of ten), 32 bytes of the
+entry, and the ids.  The shard is found by bisection of the manifest.
 
 Cases: null texts are empty texts (the end id alone); rows with one key stand
 together, in order of their texts, under one slot; rows with a null key come
@@ -22,6 +28,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -31,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm._shared import bounded_batches, filesystem, partitions_of, shared_dir
+from veil.llm._shared import bounded_batches, filesystem, partitions_of, shared_dir, tidy
 from veil.llm._text import batches, mix
 from veil.llm._tokens import tokenizer, with_end
 
-MAGIC = b"IDSHARD1"
+MAGIC = b"IDSHARD2"
 GAMMA = 2.0
+#: What the index holds by slot.
+ENTRY = np.dtype([("mark", "<u4"), ("rows", "<u4"), ("first", "<i8"), ("begin", "<i8"), ("end", "<i8")])
 
 
 class PerfectHash:
@@ -99,17 +108,18 @@ class ShardWriter:
         self.counts.append(counts)
         self.out.write(ids.astype(f"<u{self.width}").tobytes())
 
-    def close(self) -> tuple[int, int]:
+    def close(self) -> tuple[int, int, int]:
         keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
         first = self.nulls + np.flatnonzero(np.diff(keys[self.nulls :], prepend=keys[self.nulls] - 1 if len(keys) > self.nulls else 0))
         own = keys[first]
         hash_ = PerfectHash.build(own)
         slot = hash_.slots(own)
-        marks, rows = np.empty(len(own), np.uint32), np.empty((len(own), 2), np.int64)
-        marks[slot] = fingerprint(own)
-        rows[slot, 0], rows[slot, 1] = first, np.diff(np.append(first, len(keys)))
         edge = np.concatenate([[0], np.cumsum(counts)])
-        parts = {"keys": keys.astype("<i8"), "edge": edge.astype("<i8"), "bits": hash_.bits.astype("<u8"), "marks": marks.astype("<u4"), "rows": rows.astype("<i8")}
+        entries = np.empty(len(own), ENTRY)
+        entries["mark"][slot], entries["rows"][slot] = fingerprint(own), np.diff(np.append(first, len(keys)))
+        entries["first"][slot], entries["begin"][slot], entries["end"][slot] = first, edge[first], edge[first + 1]
+        ranked = np.stack([hash_.bits, hash_.before.astype(np.uint64)], 1)
+        parts = {"edge": edge.astype("<i8"), "ranked": ranked.astype("<u8"), "entries": entries}
         begin = len(MAGIC) + int(edge[-1]) * self.width
         head = {"width": self.width, "nulls": self.nulls, "sizes": hash_.sizes, "parts": {}}
         for name, x in parts.items():
@@ -120,40 +130,62 @@ class ShardWriter:
         self.out.write(text + len(text).to_bytes(8, "little") + MAGIC)
         self.out.close()
         self.fs.move(self.at, self.path)
-        return len(keys), int(edge[-1])
+        return len(keys), int(edge[-1]), self.nulls
 
 
 class ShardReader:
-    """Keyed access to one shard file."""
+    """Keyed access to one shard file; ``read`` counts the bytes that were read."""
 
     def __init__(self, uri: str) -> None:
         fs, path = filesystem(uri)
-        self.file = fs.open_input_file(path)
+        self.file, self.read = fs.open_input_file(path), 0
         size = self.file.size()
-        tail = self.file.read_at(8 + len(MAGIC), size - 8 - len(MAGIC))
+        tail = self._at(8 + len(MAGIC), size - 8 - len(MAGIC))
         if tail[8:] != MAGIC:
             raise ValueError(f"{uri} is no shard file, or is cut off")
         n = int.from_bytes(tail[:8], "little")
-        self.head = json.loads(self.file.read_at(n, size - 8 - len(MAGIC) - n))
-        part = lambda name, kind: np.frombuffer(self.file.read_at(self.head["parts"][name][1], self.head["parts"][name][0]), kind)
-        self.keys, self.edge = part("keys", "<i8"), part("edge", "<i8")
-        self.marks, self.rows = part("marks", "<u4"), part("rows", "<i8").reshape(-1, 2)
-        self.hash = PerfectHash(self.head["sizes"], part("bits", "<u8"))
-        self.nulls = self.head["nulls"]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; -1 and 0 for keys that the shard lacks."""
-        slot = self.hash.slots(keys)
+        self.head = json.loads(self._at(n, size - 8 - len(MAGIC) - n))
+        self.nulls, self.rows = self.head["nulls"], self.head["parts"]["edge"][1] // 8 - 1
+
+    def _at(self, size: int, begin: int) -> bytes:
+        self.read += size
+        return self.file.read_at(size, begin)
+
+    def _some(self, part: str, kind: np.dtype | str, first: int, n: int) -> np.ndarray:
+        """n values of a part of the file from the first on."""
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self._at(n * width, self.head["parts"][part][0] + first * width), kind)
+
+    def locate(self, key: int) -> np.void | None:
+        """The entry of a key, by a few reads of fixed size; None for keys that the shard lacks."""
+        keys, base = np.array([key], np.int64).view(np.uint64), 0
+        for level, size in enumerate(self.head["sizes"]):
+            at = base + int(PerfectHash._place(keys, level, size)[0])
+            word, before = self._some("ranked", "<u8", 2 * (at >> 6), 2).tolist()
+            if word >> (at & 63) & 1:
+                entry = self._some("entries", ENTRY, before + (word & ((1 << (at & 63)) - 1)).bit_count(), 1)[0]
+                return entry if entry["mark"] == fingerprint(keys)[0] else None
+            base += size
+        return None
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of many keys, with the whole index in memory; rows is 0 for keys that the shard lacks."""
+        ranked = self._some("ranked", "<u8", 0, self.head["parts"]["ranked"][1] // 8).reshape(-1, 2)
+        entries = self._some("entries", ENTRY, 0, self.head["parts"]["entries"][1] // ENTRY.itemsize)
+        slot = PerfectHash(self.head["sizes"], np.ascontiguousarray(ranked[:, 0])).slots(keys)
+        out = np.zeros(len(keys), ENTRY)
         ok = slot >= 0
-        ok[ok] = self.marks[slot[ok]] == fingerprint(keys[ok])
-        first, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        first[ok], n[ok] = self.rows[slot[ok], 0], self.rows[slot[ok], 1]
-        return first, n
+        ok[ok] = entries["mark"][slot[ok]] == fingerprint(keys[ok])
+        out[ok] = entries[slot[ok]]
+        return out
+
+    def edges(self, row: int, rows: int = 1) -> np.ndarray:
+        """Where the ids of some rows that follow each other begin, and where the last ones end."""
+        return self._some("edge", "<i8", row, rows + 1)
 
-    def ids(self, row: int, rows: int = 1) -> np.ndarray:
-        """The ids of a row, or of some rows that follow each other."""
-        w, a, b = self.head["width"], int(self.edge[row]), int(self.edge[row + rows])
-        return np.frombuffer(self.file.read_at((b - a) * w, len(MAGIC) + a * w), f"<u{w}").astype("<u4")
+    def ids(self, begin: int, end: int) -> np.ndarray:
+        w = self.head["width"]
+        return np.frombuffer(self._at((end - begin) * w, len(MAGIC) + begin * w), f"<u{w}").astype("<u4")
 
     def close(self) -> None:
         self.file.close()
@@ -169,6 +201,8 @@ class Shard:
     start: int
     least: int | None
     greatest: int | None
+    #: Rows with a null key; they stand first.
+    nulls: int = 0
 
 
 @dataclass(frozen=True)
@@ -177,16 +211,28 @@ class Store:
 
     shards: tuple[Shard, ...]
 
+    def keyed(self) -> tuple[list[int], list[Shard]]:
+        """The shards that have keys, and the least key of each, ascending."""
+        own = sorted((s for s in self.shards if s.least is not None), key=lambda s: s.least)
+        return [s.least for s in own], own
+
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of every row with this key (driver-side access)."""
-        out = []
-        for s in self.shards:
-            if s.least is not None and s.least <= key <= s.greatest:
-                reader = ShardReader(s.uri)
-                first, n = reader.find(np.array([key], np.int64))
-                out += [reader.ids(int(first[0]) + i) for i in range(int(n[0]))]
-                reader.close()
-        return out
+        least, own = self.keyed()
+        at = bisect_right(least, key) - 1
+        if at < 0 or key > own[at].greatest:
+            return []
+        reader = ShardReader(own[at].uri)
+        try:
+            entry = reader.locate(key)
+            if entry is None:
+                return []
+            if entry["rows"] == 1:
+                return [reader.ids(int(entry["begin"]), int(entry["end"]))]
+            edge = reader.edges(int(entry["first"]), int(entry["rows"])).tolist()
+            return [reader.ids(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        finally:
+            reader.close()
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, *, key: str = "doc_id", text: str = "text") -> Store:
@@ -212,15 +258,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
             if len(some):
                 ends = [some[0].as_py() if ends[0] is None else ends[0], some[-1].as_py()]
         if out:
-            n, ids = out.close()
-            yield pa.RecordBatch.from_pylist([{"number": number, "uri": uri, "rows": n, "ids": ids, "least": ends[0], "greatest": ends[1]}], schema=MANIFEST)
+            n, ids, nulls = out.close()
+            yield pa.RecordBatch.from_pylist([{"number": number, "uri": uri, "rows": n, "ids": ids, "least": ends[0], "greatest": ends[1], "nulls": nulls}], schema=MANIFEST)
+        tidy()
 
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = keyed.repartitionByRange(partitions_of(keyed), "key").sortWithinPartitions("key", "text")
-    found = sorted(ordered.mapInArrow(write, "number long, uri string, rows long, ids long, least long, greatest long").collect(), key=lambda r: r["number"])
+    found = sorted(ordered.mapInArrow(write, "number long, uri string, rows long, ids long, least long, greatest long, nulls long").collect(), key=lambda r: r["number"])
     start, shards = 0, []
     for r in found:
-        shards.append(Shard(r["number"], r["uri"], r["rows"], r["ids"], start, r["least"], r["greatest"]))
+        shards.append(Shard(r["number"], r["uri"], r["rows"], r["ids"], start, r["least"], r["greatest"], r["nulls"]))
         start += r["ids"]
     store = Store(tuple(shards))
     fs, at = filesystem(path)
@@ -230,7 +277,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     return store
 
 
-MANIFEST = pa.schema([("number", pa.int64()), ("uri", pa.string()), ("rows", pa.int64()), ("ids", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64())])
+MANIFEST = pa.schema([("number", pa.int64()), ("uri", pa.string()), ("rows", pa.int64()), ("ids", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64()), ("nulls", pa.int64())])
 
 
 def open_store(path: str) -> Store:
@@ -239,31 +286,46 @@ def open_store(path: str) -> Store:
         return Store(tuple(Shard(**x) for x in json.loads(f.read())))
 
 
-def read_digests(spark: SparkSession, store: Store) -> DataFrame:
-    """For each row of the store, read from its files by key: doc_id, start, n_tokens, ids_crc32."""
+def read_digests(spark: SparkSession, store: Store, docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """For each row of the store whose key is among those of docs, found in the files by the index: doc_id, start, n_tokens, ids_crc32.
+
+    A null key among them stands for all rows without a key.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not store.shards:
         return spark.createDataFrame([], schema)
-    shards = store.shards
+    least, own = store.keyed()
+    ends, without = np.array(least, np.int64), [s for s in store.shards if s.nulls]
+
+    def rows_of(reader: ShardReader, shard: Shard, row: np.ndarray, keys: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Rows of a shard, ascending."""
+        for at in range(0, len(row), 1024):
+            some = row[at : at + 1024]
+            low, high = int(some[0]), int(some[-1])
+            edge = reader.edges(low, high - low + 1)
+            ids, begin, end = reader.ids(int(edge[0]), int(edge[-1])), edge[some - low], edge[some - low + 1]
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip((begin - edge[0]).tolist(), (end - edge[0]).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([keys.slice(at, 1024), pa.array(shard.start + begin), pa.array(end - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for number in part.column(0).to_pylist():
-                shard = shards[number]
+            if part.column(0).null_count:
+                for shard in without:
+                    reader = ShardReader(shard.uri)
+                    yield from rows_of(reader, shard, np.arange(shard.nulls), pa.nulls(shard.nulls, pa.int64()))
+                    reader.close()
+            keys = part.column(0).drop_null().to_numpy()
+            at = np.searchsorted(ends, keys, "right") - 1
+            for number in np.unique(at[at >= 0]).tolist():
+                asked, shard = keys[at == number], own[number]
                 reader = ShardReader(shard.uri)
-                own = np.unique(reader.keys[reader.nulls :])
-                first, n = reader.find(own)
-                if (n < 1).any() or n.sum() + reader.nulls != len(reader.keys):
-                    raise ValueError(f"the index of {shard.uri} lacks keys")
-                row = np.concatenate([np.arange(reader.nulls), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-                counts, crc = np.diff(reader.edge)[row], np.empty(len(row), np.int64)
-                for at in range(0, len(row), 1024):
-                    size = min(1024, len(row) - at)
-                    block, base = reader.ids(at, size), reader.edge[at]
-                    for i in range(at, at + size):
-                        crc[i] = zlib.crc32(block[reader.edge[i] - base : reader.edge[i + 1] - base])
-                keys = pa.array(reader.keys[row], mask=np.arange(len(row)) < reader.nulls)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(shard.start + reader.edge[row]), pa.array(counts), pa.array(crc[row])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = reader.find(asked)
+                n = found["rows"].astype(np.int64)
+                row = np.repeat(found["first"] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                order = np.argsort(row)
+                yield from rows_of(reader, shard, row[order], pa.array(np.repeat(asked, n)[order]))
                 reader.close()
+        tidy()
 
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)
+    keys = docs.select(F.col(key).cast("long").alias("key")).distinct()
+    return keys.repartitionByRange(len(store.shards), "key").sortWithinPartitions("key").mapInArrow(read, schema)
