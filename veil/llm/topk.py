@@ -13,8 +13,9 @@ so lower buckets can't hold it.  Likewise it sends at most its k best rows for a
 query, however many tie.  What a query costs in shuffled rows is k for each
 partition, not the number of rows.
 
-Queries are taken in blocks of bounded bytes, each broadcast on its own; the
-queries' block table is written once.
+Queries are taken in blocks of bounded bytes, and ``WAVE`` blocks share each pass
+over the rows; a wave is broadcast, at most 16 MB of it.  The queries' block table
+is written once, and each wave's results are written as they come.
 
 Scores are integer inner products of floor(scale * x), exact: in doubles as long
 as every sum stays below 2**53, in Python integers beyond (held at the ends of
@@ -30,17 +31,22 @@ returned; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.llm._shared import through_table
+from veil.llm._shared import kept, through_table, tidy
 
 #: Bytes of one block of queries, and rows scored at once.
 BLOCK_BYTES, ROWS = 2 << 20, 2048
 BUCKETS = 512
+#: Blocks of queries that a pass over the rows serves.
+WAVE = 8
+_MOST = np.iinfo(np.int64).max
 
 
 def integer_vectors(ids: pa.Array, lists: pa.Array, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -56,15 +62,17 @@ def integer_vectors(ids: pa.Array, lists: pa.Array, scale: float) -> Iterator[tu
     key = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     for d in np.unique(size[ok]):
         row = np.flatnonzero(ok & (size == d))
-        matrix = np.floor(scale * numbers[offsets[row][:, None] + np.arange(d)])
+        matrix = numbers[offsets[row][:, None] + np.arange(d)]
         whole = np.isfinite(matrix).all(1)
         if whole.any():
-            yield key[row[whole]], matrix[whole]
+            with np.errstate(over="ignore"):  # finite components take part however large
+                yield key[row[whole]], np.nan_to_num(np.floor(scale * matrix[whole]))
 
 
 def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Integer inner products, rows by queries."""
-    reach = np.sqrt((rows * rows).sum(1).max()) * np.sqrt((queries * queries).sum(1).max())
+    with np.errstate(over="ignore"):
+        reach = np.sqrt((rows * rows).sum(1).max()) * np.sqrt((queries * queries).sum(1).max())
     if reach < 2**52:
         return (rows @ queries.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
@@ -77,7 +85,8 @@ class _Block:
     def __init__(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         self.ids, self.matrix = ids, matrix
         self.low = np.zeros(len(ids), np.int64)
-        self.width = np.ones(len(ids), np.int64)
+        self.width = np.ones(len(ids), np.uint64)
+        self.done = False
 
     def scored(self, batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row ids, scores by query) in parts of ROWS rows; the query's own rows score the least."""
@@ -87,36 +96,48 @@ class _Block:
                     yield ids[at : at + ROWS], scores(matrix[at : at + ROWS], self.matrix)
 
 
-def _counts(block: _Block, k: int, scale: float):
+def _counts(wave: Broadcast, k: int, scale: float):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(block.ids)
-        total = np.zeros((n, BUCKETS + 1), np.int64)
-        base = np.arange(n) * (BUCKETS + 1)
+        kept("top k")
+        blocks = wave.value
+        totals = [None if b.done else np.zeros((len(b.ids), BUCKETS + 1), np.int64) for b in blocks]
         for batch in batches:
-            for ids, got in block.scored(batch, scale):
-                bucket = np.floor_divide(got - block.low, block.width)
-                np.minimum(bucket, BUCKETS, out=bucket)
-                valid = (bucket >= 0) & (ids[:, None] != block.ids)
-                total += np.bincount((bucket + base)[valid], minlength=total.size).reshape(total.shape)
-        above = np.cumsum(total[:, ::-1], 1)[:, ::-1] - total
-        query, bucket = np.nonzero((total > 0) & (above < k))
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(bucket), pa.array(total[query, bucket])], names=["query", "bucket", "n"])
+            for block, total in zip(blocks, totals, strict=True):
+                if total is None:
+                    continue
+                base = np.arange(len(block.ids)) * (BUCKETS + 1)
+                for ids, got in block.scored(batch, scale):
+                    # as unsigned numbers the difference is exact wherever the score reaches the range
+                    bucket = np.minimum((got.view(np.uint64) - block.low.view(np.uint64)) // block.width, np.uint64(BUCKETS)).astype(np.int64)
+                    valid = (got >= block.low) & (ids[:, None] != block.ids)
+                    total += np.bincount((bucket + base)[valid], minlength=total.size).reshape(total.shape)
+        for number, total in enumerate(totals):
+            if total is not None:
+                above = np.cumsum(total[:, ::-1], 1)[:, ::-1] - total
+                query, bucket = np.nonzero((total > 0) & (above < k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(query), number)), pa.array(query), pa.array(bucket), pa.array(total[query, bucket])], names=["block", "query", "bucket", "n"])
+        tidy()
 
     return count
 
 
-def _best(block: _Block, k: int, scale: float):
+def _best(wave: Broadcast, k: int, scale: float):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3
+        kept("top k")
+        blocks = wave.value
+        held = [(np.zeros(0, np.int64),) * 3 for _ in blocks]
         for batch in batches:
-            for ids, got in block.scored(batch, scale):
-                row, query = np.nonzero((got >= block.low) & (ids[:, None] != block.ids))
-                kept = tuple(np.concatenate(x) for x in zip(kept, (query, ids[row], got[row, query]), strict=True))
-                order = np.lexsort((kept[1], -kept[2], kept[0]))
-                kept = tuple(x[order] for x in kept)
-                first = np.searchsorted(kept[0], kept[0])
-                kept = tuple(x[np.arange(len(first)) - first < k] for x in kept)
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids[kept[0]]), pa.array(kept[0]), pa.array(kept[1]), pa.array(kept[2])], names=["query_id", "query", "vec_id", "score"])
+            for number, block in enumerate(blocks):
+                for ids, got in block.scored(batch, scale):
+                    row, query = np.nonzero((got >= block.low) & (ids[:, None] != block.ids))
+                    own = tuple(np.concatenate(x) for x in zip(held[number], (query, ids[row], got[row, query]), strict=True))
+                    order = np.lexsort((own[1], ~own[2], own[0]))
+                    own = tuple(x[order] for x in own)
+                    first = np.searchsorted(own[0], own[0])
+                    held[number] = tuple(x[np.arange(len(first)) - first < k] for x in own)
+        for number, (block, own) in enumerate(zip(blocks, held, strict=True)):
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[own[0]]), pa.array(np.full(len(own[0]), number)), *map(pa.array, own)], names=["query_id", "block", "query", "vec_id", "score"])
+        tidy()
 
     return best
 
@@ -128,6 +149,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec
     chosen = vectors.where(is_query).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
         for batch in batches:
             found = [(matrix.shape[1], float(np.sqrt((matrix * matrix).sum(1).max())), len(ids)) for ids, matrix in integer_vectors(batch.column(0), batch.column(1), scale)]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], names=["d", "reach", "n"])
@@ -139,31 +161,47 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec
         return spark.createDataFrame([], schema)
     blocks = -(-size // BLOCK_BYTES)
     dealt = through_table(spark, chosen.repartitionByRange(blocks, "vec_id").withColumn("block", F.spark_partition_id()) if blocks > 1 else chosen.withColumn("block", F.lit(0)), "queries")
-    found = None
-    for number in range(blocks):
-        table = dealt.where(F.col("block") == number).select("vec_id", "vector").toArrow()
-        if not table.num_rows:
-            continue
-        for ids, matrix in integer_vectors(table.column(0).combine_chunks(), table.column(1).combine_chunks(), scale):
-            block = _Block(ids, matrix)
-            bound = np.ceil(np.sqrt((matrix * matrix).sum(1)) * kinds[matrix.shape[1]]) + 1
-            bound = np.minimum(bound, 2.0**61).astype(np.int64)
-            block.low, block.width = -bound, (2 * bound + 1) // BUCKETS + 1
-            while True:
-                counts = rows.mapInArrow(_counts(block, k, scale), "query long, bucket long, n long").groupBy("query", "bucket").agg(F.sum("n").alias("n"))
-                so_far = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("bucket")))
-                at = counts.withColumn("so_far", so_far).where(F.col("so_far") >= k).groupBy("query").agg(F.max("bucket").alias("bucket")).toArrow()
-                query, bucket = at.column(0).to_numpy(), at.column(1).to_numpy()
-                few = np.ones(len(block.ids), bool)
-                few[query] = False
-                inside = bucket < BUCKETS
-                block.low[query[inside]] += bucket[inside] * block.width[query[inside]]
-                block.low[few] = -bound[few]
-                done = few | (block.width == 1)
-                if done.all():
-                    break
-                block.width = np.where(done, 1, block.width // BUCKETS + (block.width % BUCKETS > 0))
-            part = rows.mapInArrow(_best(block, k, scale), "query_id long, query long, vec_id long, score long").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
-            part = part.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-            found = part if found is None else found.unionAll(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    waves = []
+    for first in range(0, blocks, WAVE):
+        wave = []
+        for number in range(first, min(first + WAVE, blocks)):
+            table = dealt.where(F.col("block") == number).select("vec_id", "vector").toArrow()
+            if table.num_rows:
+                wave += [_Block(ids, matrix) for ids, matrix in integer_vectors(table.column(0).combine_chunks(), table.column(1).combine_chunks(), scale)]
+        if wave:
+            waves.append(through_table(spark, _wave(rows, wave, kinds, k, scale), "best"))
+    return reduce(DataFrame.unionAll, waves) if waves else spark.createDataFrame([], schema)
+
+
+def _wave(rows: DataFrame, wave: list[_Block], kinds: dict[int, float], k: int, scale: float) -> DataFrame:
+    """The results of some blocks of queries; kinds: the greatest length of a row by number of components."""
+    context = rows.sparkSession.sparkContext
+    for block in wave:
+        with np.errstate(over="ignore"):
+            bound = np.ceil(np.sqrt((block.matrix * block.matrix).sum(1)) * kinds[block.matrix.shape[1]]) + 1
+        wide = bound >= 2.0**62
+        bound = np.where(wide, 0, bound).astype(np.int64)
+        block.bottom = np.where(wide, -_MOST - 1, -bound)
+        block.low, block.width = block.bottom.copy(), np.where(wide, np.uint64(_MOST), bound.astype(np.uint64)) * np.uint64(2) // np.uint64(BUCKETS) + np.uint64(1)
+    while not all(block.done for block in wave):
+        shared = context.broadcast(wave)
+        counts = rows.mapInArrow(_counts(shared, k, scale), "block long, query long, bucket long, n long").groupBy("block", "query", "bucket").agg(F.sum("n").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy("block", "query").orderBy(F.desc("bucket")))
+        at = counts.withColumn("so_far", so_far).where(F.col("so_far") >= k).groupBy("block", "query").agg(F.max("bucket").alias("bucket")).toArrow()
+        shared.unpersist()
+        number, query, bucket = (at.column(i).to_numpy() for i in range(3))
+        for i, block in enumerate(wave):
+            if block.done:
+                continue
+            own, of = query[number == i], bucket[number == i]
+            few = np.ones(len(block.ids), bool)
+            few[own] = False
+            inside = of < BUCKETS
+            block.low[own[inside]] += (of[inside].astype(np.uint64) * block.width[own[inside]]).view(np.int64)
+            block.low[few] = block.bottom[few]
+            done = few | (block.width == 1)
+            block.done = bool(done.all())
+            block.width = np.where(done, np.uint64(1), block.width // np.uint64(BUCKETS) + (block.width % np.uint64(BUCKETS) > 0).astype(np.uint64))
+    found = rows.mapInArrow(_best(context.broadcast(wave), k, scale), "query_id long, block long, query long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
