@@ -7,11 +7,20 @@ bytes a row.  Shards take floor(rows / shards) each, and as many as needed take
 one more.  Successive shortest paths solve it on the driver; the network has a
 few thousand nodes at any number of rows.
 
+The bytes of a block's rows are counted at the block's mean, so the cost is least
+for sizes within a class (they differ by a tenth at most), not for single rows.
+Capacities other than equal shares can be given as rows by shard.
+
 Of a block that gives rows away, the smallest go, by their rank in it.  Ranks
 come from a range sort: each row's place within its partition's part of the
 block, plus what the partitions before hold of it.  No block meets in one task,
 however many rows share a size, a key or an old shard.
 
+Old shards are files, a folder for each.  The affected shards are written as
+files of a new version, straight from the old ones without a shuffle, and a
+manifest that is replaced as a whole says which version holds a shard; a run that
+ends early leaves the old manifest, and ``tidied`` deletes versions that none names.
+
 Law kept: ``rows``, the shards' row counts differ by one at most.
 
 Cases: null texts have no bytes and crc 0; sizes are bytes plus a constant for
@@ -24,15 +33,19 @@ empty table gives no rows; only the named columns are read.
 from __future__ import annotations
 
 import heapq
+import json
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veil.llm._shared import filesystem, partitions_of, release, shared_dir, through_table
 
@@ -107,9 +120,14 @@ class Transfer:
     slot: int
 
 
-def solve(blocks: dict[int, tuple[int, int]], shards: int) -> list[Transfer]:
-    """Transfers for blocks {old shard * _CLASS + class: (rows, bytes)} that give each shard floor or ceil of its share, at the least bytes moved."""
+def solve(blocks: dict[int, tuple[int, int]], shards: int, room: Sequence[int] | None = None) -> list[Transfer]:
+    """Transfers for blocks {old shard * _CLASS + class: (rows, bytes)} at the least bytes moved.
+
+    room: the most rows of each shard; without it, each gets floor or ceil of its share.
+    """
     rows = sum(n for n, _ in blocks.values())
+    if room is not None and (len(room) != shards or min(room, default=0) < 0 or sum(room) < rows):
+        raise ValueError(f"{rows} rows don't fit the capacities of {shards} shards")
     if not rows:
         return []
     base, extra = divmod(rows, shards)
@@ -117,8 +135,9 @@ def solve(blocks: dict[int, tuple[int, int]], shards: int) -> list[Transfer]:
     source, sink, pool, spare = -1, -2, -3, -4
     unfilled = 2.0 * max(b / n for n, b in blocks.values()) + 1
     for i in range(shards):
-        flow.arc(i, sink, base, 0.0)
-        flow.arc(i, spare, 1, unfilled)  # dearer than any move: the equal shares fill first
+        flow.arc(i, sink, base if room is None else room[i], 0.0)
+        if room is None:
+            flow.arc(i, spare, 1, unfilled)  # dearer than any move: the equal shares fill first
         taken[i] = flow.arc(pool, i, rows, 0.0)
     flow.arc(spare, sink, extra, 0.0)
     for at, (block, (n, size)) in enumerate(sorted(blocks.items())):
@@ -152,7 +171,7 @@ def solve(blocks: dict[int, tuple[int, int]], shards: int) -> list[Transfer]:
     return out
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "doc_id", text: str = "text", row_bytes: int = 16, carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[Transfer]]:
+def reshard(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "doc_id", text: str = "text", row_bytes: int = 16, carry: tuple[str, ...] = (), room: Sequence[int] | None = None) -> tuple[DataFrame, list[Transfer]]:
     """(doc_id, size, text_crc32, old_shard, shard, slot and the carried columns; the transfers)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -167,10 +186,13 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "doc_
     order = ["block", "size", "doc_id", "text_crc32"]
     ordered = rows.withColumn("block", block).repartitionByRange(partitions_of(rows), *order).sortWithinPartitions(*order)
     placed = ordered.mapInArrow(_nth, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema), "part int", "nth long"]))
-    placed = through_table(spark, placed, "ranked")
+    path = shared_dir(spark, "old-shards")
+    placed.write.partitionBy("old_shard").parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    release(spark)
     by_part = through_table(spark, placed.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "blocks")
     totals = by_part.groupBy("block").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()
-    transfers = solve({r["block"]: (r["n"], r["bytes"]) for r in totals}, shards)
+    transfers = solve({r["block"]: (r["n"], r["bytes"]) for r in totals}, shards, room)
     before = F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_part.select("part", "block", F.coalesce(before, F.lit(0)).alias("before"))
     if by_part.count() <= BROADCAST_ROWS:
@@ -229,31 +251,55 @@ def rewritten(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "do
     spark = docs.sparkSession
     placed, transfers = reshard(docs, old_shard, shards, key=key, text=text, row_bytes=row_bytes, carry=(text,))
     placed = placed.withColumnRenamed(text, "body").select("doc_id", "body", "old_shard", "slot", "shard")
-    release(spark)
     path = shared_dir(spark, "shards")
     new = rewrite(placed, transfers, path)
     stay = placed.where(~F.col("shard").isin(sorted(affected(transfers))))
-    rows = stay.unionByName(spark.read.schema(placed.schema).parquet(path)) if new else stay
+    rows = stay.unionByName(read_shards(spark, path, placed.schema)) if new else stay
     body = F.coalesce("body", F.lit(""))
     return rows.select("doc_id", (F.octet_length(body) + F.lit(row_bytes)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), "old_shard", "shard", "slot")
 
 
 def rewrite(placed: DataFrame, transfers: list[Transfer], path: str, rows_a_file: int = 1 << 16) -> list[int]:
-    """Writes the files of the affected shards (folders ``shard=N`` below path, rows by slot) and leaves the others alone; returns the shards written.
+    """Writes the affected shards as files of a new version (``version=V/shard=N`` below path), and then the manifest; returns the shards written.
 
-    A shard's rows are dealt over files of bounded size, so that no task writes a whole shard.
+    A task writes the rows that it has read, ordered by slot within a file; old files stay for those who read them.
     """
-    spark, shards = placed.sparkSession, sorted(affected(transfers))
-    new = [s for s in shards if any(t.shard == s for t in transfers)]
-    files = placed.where(F.col("shard").isin(new)).withColumn("file", F.floor(F.col("slot") / rows_a_file))
-    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        files.repartition("shard", "file").sortWithinPartitions("shard", "slot").drop("file").write.mode("overwrite").partitionBy("shard").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    changed, version = affected(transfers), uuid.uuid4().hex
+    new = sorted(changed & {t.shard for t in transfers})
+    rows = placed.where(F.col("shard").isin(new)).sortWithinPartitions("shard", "slot")
+    rows.write.option("maxRecordsPerFile", rows_a_file).partitionBy("shard").parquet(f"{path}/version={version}")
     fs, at = filesystem(path)
-    for gone in set(shards) - set(new):
-        if fs.get_file_info(f"{at}/shard={gone}").type.name == "Directory":
-            fs.delete_dir(f"{at}/shard={gone}")
+    now = {s: v for s, v in manifest(path).items() if s not in changed} | dict.fromkeys(new, version)
+    with fs.open_output_stream(f"{at}/_manifest-{version}") as f:
+        f.write(json.dumps(now).encode())
+    fs.move(f"{at}/_manifest-{version}", f"{at}/_manifest.json")
     return new
+
+
+def manifest(path: str) -> dict[int, str]:
+    """The version that holds each rewritten shard."""
+    fs, at = filesystem(path)
+    if fs.get_file_info(f"{at}/_manifest.json").type.name != "File":
+        return {}
+    with fs.open_input_stream(f"{at}/_manifest.json") as f:
+        return {int(s): v for s, v in json.loads(f.read()).items()}
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all shards as the manifest has them."""
+    now = manifest(path)
+    out = spark.createDataFrame([], schema)
+    for version in sorted(set(now.values())):
+        rows = spark.read.schema(schema).parquet(f"{path}/version={version}")
+        out = out.unionByName(rows.where(F.col("shard").isin([s for s, v in now.items() if v == version])))
+    return out
+
+
+def tidied(path: str) -> int:
+    """Deletes versions that the manifest doesn't name; returns how many."""
+    fs, at = filesystem(path)
+    held = {f"version={v}" for v in manifest(path).values()}
+    gone = [f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith("version=") and f.base_name not in held]
+    for folder in gone:
+        fs.delete_dir(folder)
+    return len(gone)
