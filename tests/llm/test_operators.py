@@ -118,13 +118,32 @@ def store_rows(df):
 def test_token_store(spark, docs, odd, empty):
     for df in (docs, odd):
         store = token_store.write_store(df, tokenizer_path("byte_bpe_50k.json"), 2)
-        got = [tuple(r) for r in token_store.read_digests(spark, store).collect()]
+        got = [tuple(r) for r in token_store.read_digests(spark, store, df).collect()]
         order = lambda r: (r[0] is not None, r[0] or 0, r[1])
         assert sorted(got, key=order) == sorted(store_rows(df), key=order)
     assert len(store.get(3)) == 2 and len(store.get(7)) == 2 and store.get(10**9) == []
     reader = token_store.ShardReader(store.shards[0].uri)
-    assert (reader.find(np.arange(1000, 5000))[0] == -1).all()
-    assert token_store.read_digests(spark, token_store.write_store(empty, tokenizer_path("byte_bpe_50k.json"), 2)).count() == 0
+    assert (reader.find(np.arange(1000, 5000))["rows"] == 0).all() and all(reader.locate(k) is None for k in range(1000, 1200))
+    assert token_store.read_digests(spark, token_store.write_store(empty, tokenizer_path("byte_bpe_50k.json"), 2), empty).count() == 0
+
+
+def test_store_access_reads_the_same_at_any_size(tmp_path):
+    """Bytes read for a key don't grow with the file, and the fingerprints alone turn foreign keys away."""
+    most = {}
+    for n in (100, 20_000):
+        out = token_store.ShardWriter(f"file://{tmp_path}/{n}.ids", 2)
+        keys = np.arange(n) * 7
+        out.add(pa.array(keys), np.repeat(np.arange(n) % 60_000, 3), np.full(n, 3))
+        out.close()
+        reader = token_store.ShardReader(f"file://{tmp_path}/{n}.ids")
+        reads = []
+        for key in keys[:: n // 100].tolist():
+            before, entry = reader.read, reader.locate(key)
+            assert reader.ids(int(entry["begin"]), int(entry["end"])).tolist() == [key // 7 % 60_000] * 3
+            reads.append(reader.read - before)
+        most[n] = max(reads)
+        assert all(reader.locate(k) is None for k in range(1, 700, 7))
+    assert most[20_000] <= 32 + 6 + 16 * 12 and np.median(reads) <= 32 + 6 + 16 * 2
 
 
 # --- 3 --------------------------------------------------------------------
@@ -200,9 +219,16 @@ def test_top_k(spark, monkeypatch):
         monkeypatch.setattr(topk, "BLOCK_BYTES", block)
         got = [tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 10 == 0, 5).collect()]
         assert sorted(got) == brute_top(rows, 5, 10)
+        monkeypatch.setattr(topk, "WAVE", 2)
     large = [(i, [float(x) for x in rng.normal(0, 1e6, 3)]) for i in range(30)]
     got = topk.exact_top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 3).collect()
     assert sorted(map(tuple, got)) == brute_top(large, 3, 10)
+    huge = [(i, [float(x) for x in rng.normal(0, 1, 3) * 10.0 ** int(rng.integers(0, 300))]) for i in range(40)] + [(51, [float("inf")] * 3)]
+    got = topk.exact_top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 3).collect()
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in huge[:40]}
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    best = {q: sorted((-held(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:3] for q in whole if q % 10 == 0}
+    assert sorted(map(tuple, got)) == [(q, r + 1, i, -s) for q in sorted(best) for r, (s, i) in enumerate(best[q])]
     assert topk.exact_top_k(df.limit(0), F.lit(True), 5).count() == 0
 
 
@@ -253,6 +279,31 @@ def test_reshard(spark, docs, odd, empty, tmp_path):
     assert resharding.reshard(empty, F.lit(0), 4)[0].count() == 0
 
 
+def test_capacities():
+    blocks = {0 * resharding._CLASS + 10: (6, 60), 1 * resharding._CLASS + 20: (4, 400)}
+    got = resharding.solve(blocks, 3, [3, 4, 5])
+    assert {s: sum(t.high - t.low for t in got if t.shard == s) for s in range(3)} == {0: 3, 1: 4, 2: 3}
+    assert sum((t.high - t.low) * (10 if t.block < resharding._CLASS else 100) for t in got if t.block // resharding._CLASS != t.shard) == 30
+    for bad in ([1, 1, 1], [20, 20], [-1, 20, 20]):
+        with pytest.raises(ValueError):
+            resharding.solve(blocks, 3, bad)
+
+
+def test_rewriting_again(spark, tmp_path):
+    """A run that ends before the manifest changes nothing; versions that are no longer named can go."""
+    path = f"file://{tmp_path}/shards"
+    df = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for old, shards in ((F.lit(0), 3), (F.col("doc_id") % 3, 5)):
+        placed, transfers = resharding.reshard(df, old, shards)
+        resharding.rewrite(placed, transfers, path)
+    schema = placed.schema
+    now = sorted(r["doc_id"] for r in resharding.read_shards(spark, path, schema).collect())
+    assert now == list(range(30))
+    placed.limit(5).write.partitionBy("shard").parquet(f"{path}/version=halfdone")
+    assert sorted(r["doc_id"] for r in resharding.read_shards(spark, path, schema).collect()) == now
+    assert resharding.tidied(path) >= 1 and sorted(r["doc_id"] for r in resharding.read_shards(spark, path, schema).collect()) == now
+
+
 def test_reshard_query_reads_rewritten_files(spark, docs, odd, empty, monkeypatch):
     """The query's digests are those of the written shards (it was a plan alone once)."""
     paths, write = [], resharding.rewrite
@@ -569,6 +620,59 @@ def test_training_reads_every_word(spark, monkeypatch):
             assert dict(zip(rows.tolist(), times.tolist(), strict=True)) == want and label == (text is long)
 
 
+def test_gradients():
+    """Against finite differences of the loss."""
+    rng = np.random.default_rng(3)
+    table, softmax, bias = rng.normal(size=(3, 12)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    size, labels, scale = np.array([3, 1, 4]), np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+    rows, times, over = rng.integers(0, 12, 8), rng.integers(1, 4, 8).astype(float), np.array([7.0, 3.0, 9.0])
+
+    def loss():
+        total, at = 0.0, 0
+        for n, y, w, o in zip(size, labels, scale, over, strict=True):
+            mean = sum(table[:, r] * t for r, t in zip(rows[at : at + n], times[at : at + n], strict=True)) / o
+            logit = mean @ softmax + bias
+            total += w * (np.log(np.exp(logit).sum()) - logit[y])
+            at += n
+        return total
+
+    for one, got in zip((table, softmax, bias), toxicity.gradients(table, softmax, bias, rows, times, size, over, labels, scale), strict=True):
+        for i in np.ndindex(one.shape):
+            one[i] += 1e-6
+            high = loss()
+            one[i] -= 2e-6
+            assert got[i] == pytest.approx((high - loss()) / 2e-6, abs=1e-6)
+            one[i] += 1e-6
+
+
+def plain_score(model, text):
+    """A document's score from the definition, word by word."""
+    total, n = 0.0, 0
+    for word in {w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)}:
+        marked = b"\x02" + word.encode() + b"\x03"
+        grams = [marked] + [marked[i : i + k] for k in range(model.fit.least, model.fit.most + 1) if k < len(marked) for i in range(len(marked) - k + 1)]
+        for gram in grams:
+            eight = chunks(np.frombuffer(gram, np.uint8))
+            total += model.margin[int(span_keys(eight, np.array([0]), np.array([len(gram)]))[0] % np.uint64(model.fit.rows))]
+            n += 1
+    return 1 / (1 + math.exp(-(total / (n + model.fit.padding) + model.bias)))
+
+
+def test_scores_are_averages(spark, odd):
+    fit = toxicity.Fit()
+    model = toxicity.Model(fit, np.random.default_rng(5).normal(size=fit.rows) * 100, -0.5)
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.scored(odd, model).collect())
+    assert got == Counter((k, round(plain_score(model, t), 9)) for k, t in texts(odd))
+
+
+def test_one_row_of_a_key_is_learnt(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda documents, fit: seen.extend(documents))
+    docs = spark.createDataFrame([(1, "same")] * 50 + [(1, "other"), (2, "x")], "doc_id long, text string")
+    toxicity.trained(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), F.lit(True))
+    assert len(seen) == 2
+
+
 def test_held_out(spark):
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", toxicity.held_out("id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}
