@@ -17,7 +17,7 @@ from veil.functions.strategies import replaced
 from veil.operators import detect
 from veil.operators.audit import audited
 from veil.operators.privacy import Budget, Gaussian, Laplace, Parameters, Private
-from veil.operators.values import EMAIL, Patterns
+from veil.operators.values import Patterns
 from veil.plans.nested import get_nested, rewrite_json_text, set_nested
 from veil.plans.policy import Policy, merge
 from veil.sources import databases, files
@@ -145,7 +145,7 @@ ORACLE_SQL["find_ssns_in_text"] = f"SELECT doc_id, array_to_string(regexp_extrac
 
 def _redact_sql() -> str:
     out = "text"
-    for pattern, mark in ((EMAIL, "[EMAIL]"), *((p, "[CARD]") for p in finders.CARDS.values()), *((p, "[PHONE]") for p in (finders.PHONES[4], *finders.PHONES[:4])), (_SSN_RANGES, "[SSN]"), (finders.IPV4, "[IP]")):
+    for pattern, mark in ((finders.EMAIL, "[EMAIL]"), *((p, "[CARD]") for p in finders.CARDS.values()), *((p, "[PHONE]") for p in (finders.PHONES[4], *finders.PHONES[:4])), (_SSN_RANGES, "[SSN]"), (finders.IPV4, "[IP]")):
         out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
     return out
 
