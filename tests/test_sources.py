@@ -5,10 +5,10 @@ import sqlite3
 import pytest
 
 from veil import api, cli
-from veil.errors import MissingFeatureError, MissingFileError, UnsupportedFormatError, format_error
+from veil.errors import MissingFileError, UnsupportedFormatError, format_error
 from veil.operators.audit import audited
 from veil.plans.policy import Policy
-from veil.sources import avro_schema, databases, files
+from veil.sources import avro_schema, databases, files, sheets
 from veil.streaming import runs
 
 
@@ -76,8 +76,6 @@ def test_formats(spark, tmp_path):
         files.read(spark, str(tmp_path / "none.csv"))
     with pytest.raises(UnsupportedFormatError):
         files.read(spark, str(tmp_path))
-    with pytest.raises(MissingFeatureError):
-        files.write(df, str(tmp_path / "x.avro"))
     files.write(df, str(tmp_path / "x.parquet"), options=files.FormatOptions(compression="zstd"))
     assert files.parquet_metadata(str(tmp_path / "x.parquet"))["num_rows"] == 3
     assert files.sanitize_columns(df.withColumnRenamed("id", "1 A-b")).columns == ["col_1_a_b"]
@@ -85,6 +83,49 @@ def test_formats(spark, tmp_path):
     assert files.read(spark, str(tmp_path), "mine").count() == 1
 
 
+def test_avro_files(spark, tmp_path):
+    df = spark.range(5000).selectExpr(
+        "id", "if(id % 3 = 0, null, concat('n', id)) as name", "cast(id as int) as i", "id / 7 as d", "cast(id as float) as f", "id % 2 = 0 as ok", "cast(concat('b', id) as binary) as raw",
+        "array('x', null, cast(id as string)) as list", "map('k', id) as m", "struct(id as a, struct(cast(null as string) as c) as b) as s", "date_add(date'1969-12-30', cast(id as int)) as day", "timestamp_micros(id * 1000003 - 5) as ts", "cast(id - 2500 as decimal(12, 2)) as money",
+    )
+    for codec in ("deflate", "null"):
+        path = str(tmp_path / f"{codec}.avro")
+        files.write(df.repartition(3), path, options=files.FormatOptions(compression=codec, compression_level=1))
+        got = files.read(spark, path, options=files.FormatOptions(options={"splitBytes": 9000}))
+        assert got.rdd.getNumPartitions() > 6 and got.schema.simpleString() == df.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    files.write(df.limit(1), path, mode="append")
+    assert files.read(spark, path).count() == 5001
+    files.write(df.limit(2), path)
+    assert files.read(spark, path).count() == 2
+    files.write(df.limit(0), str(tmp_path / "none.avro"))
+    assert files.read(spark, str(tmp_path / "none.avro")).count() == 0
+    files.anonymize_file(spark, path, str(tmp_path / "o.avro"), {"name": {"strategy": "hash"}})
+    assert files.read(spark, str(tmp_path / "o.avro")).count() == 2
+    with pytest.raises(Exception):
+        files.write(df, path, options=files.FormatOptions(compression="snappy"))
+
+
+def test_sheets(spark, tmp_path):
+    path = str(tmp_path / "b.xlsx")
+    df = spark.createDataFrame([(1, "a <&> 'é'", 1.5, True), (2, None, None, None), (3, " x\ny ", float("nan"), False)], "id int, `a name` string, d double, ok boolean")
+    sheets.write_sheets({"one": df, "two & three": df.select("id")}, path)
+    assert sheets.sheet_names(path) == ["one", "two & three"]
+    got = files.read(spark, path)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [("1", "a <&> 'é'", "1.5", "true"), ("2", None, None, None), ("3", " x\ny ", "nan", "false")]
+    assert [r[0] for r in sheets.read_sheet(spark, path, "two & three").collect()] == ["1", "2", "3"] and set(sheets.read_sheets(spark, path)) == {"one", "two & three"}
+    assert sheets.read_sheet(spark, path, columns="A,C:D").columns == ["id", "d", "ok"] and sheets.read_sheet(spark, path, columns=["ok"], rows=1).count() == 1
+    assert sheets.read_sheet(spark, path, header=False, skip_rows=1).columns == ["_1", "_2", "_3", "_4"]
+    files.anonymize_file(spark, path, str(tmp_path / "o.xlsx"), {"a name": {"strategy": "mask"}})
+    assert files.read(spark, str(tmp_path / "o.xlsx")).first()["a name"].startswith("*")
+    for bad in (lambda: sheets.write_sheets({"one": df}, path, 2), lambda: sheets.write_sheets({"a/b": df}, path), lambda: sheets.read_sheet(spark, path, "four")):
+        with pytest.raises(UnsupportedFormatError):
+            bad()
+    (tmp_path / "old.xls").write_bytes(b"not a zip file")
+    with pytest.raises(UnsupportedFormatError):
+        files.read(spark, str(tmp_path / "old.xls"))
+
+
 def test_avro_schemas():
     record = {"a": 1, "b": {"c": [1.5]}, "d": None, "e": True}
     schema = avro_schema.infer(record)

@@ -16,7 +16,7 @@ class MissingFileError(VeilError, FileNotFoundError):
 
 
 class UnsupportedFormatError(VeilError, ValueError):
-    hint = "Known formats: csv, tsv, json, jsonl, parquet, orc, xml, text; avro and excel where their libraries are present."
+    hint = "Known formats: csv, tsv, json, jsonl, parquet, orc, xml, text, avro, excel (xlsx)."
 
 
 class NoPersonalDataError(VeilError):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import importlib.util
 import io
 import re
 import uuid
@@ -15,9 +14,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from veil.errors import MissingFeatureError, MissingFileError, PolicyError, UnsupportedFormatError
+from veil.errors import MissingFileError, PolicyError, UnsupportedFormatError
 from veil.plans.nested import apply_nested
 from veil.plans.policy import Policy, validate
+from veil.sources import avro_files, sheets
+from veil.sources.avro_files import AvroSource
 
 EXTENSIONS = {
     "csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "parq": "parquet", "pq": "parquet",
@@ -73,48 +74,40 @@ def _write_csv(sep: str) -> Writer:
     return write
 
 
-def _read_avro(spark: SparkSession, path: str, o: FormatOptions) -> DataFrame:
-    try:
-        return spark.read.format("avro").options(**o.options).load(path)
-    except Exception as e:
-        raise MissingFeatureError("avro needs the spark-avro jar") from e
+def _avro(spark: SparkSession) -> None:
+    spark.dataSource.register(AvroSource)
 
 
-def _write_avro(df: DataFrame, path: str, o: FormatOptions, mode: str) -> None:
-    try:
-        df.write.mode(mode).format("avro").options(**o.options).save(path)
-    except Exception as e:
-        raise MissingFeatureError("avro needs the spark-avro jar") from e
+def _read_avro(spark: SparkSession, path: str, o: FormatOptions) -> DataFrame:
+    _avro(spark)
+    return spark.read.format("veil_avro").options(**o.options).load(path)
 
 
-def _excel() -> None:
-    if importlib.util.find_spec("openpyxl") is None:
-        raise MissingFeatureError("excel needs openpyxl")
+def _write_avro(df: DataFrame, path: str, o: FormatOptions, mode: str) -> None:
+    _avro(df.sparkSession)
+    if mode not in ("overwrite", "append") and avro_files.files_of(path):
+        raise FileExistsError(path)
+    extra = {"compression": o.compression} if o.compression else {}
+    extra |= {} if o.compression_level is None else {"compressionLevel": o.compression_level}
+    df.write.format("veil_avro").mode("append" if mode == "append" else "overwrite").options(**extra, **o.options).save(path)
 
 
 def _read_excel(spark: SparkSession, path: str, o: FormatOptions) -> DataFrame:
-    """Sheets are small by nature; one is read on the driver."""
-    _excel()
-    import pandas as pd
-
-    frame = pd.read_excel(path, **({"dtype": str} | dict(o.options)))
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
+    """One sheet; options: sheet (name or number), header, skip_rows, columns, rows."""
+    return sheets.read_sheet(spark, path, **o.options)
 
 
 def _write_excel(df: DataFrame, path: str, o: FormatOptions, mode: str) -> None:
-    _excel()
-    rows = int(o.options.get("max_rows", 1_048_575))
-    frame = df.limit(rows + 1).toPandas()
-    if len(frame) > rows:
-        raise UnsupportedFormatError(f"a sheet holds at most {rows} rows", "Write CSV or Parquet instead.")
-    frame.to_excel(path, index=False, sheet_name=o.options.get("sheet_name", "Sheet1"))
+    """One sheet; options: sheet_name, max_rows.  Several: ``sheets.write_sheets``."""
+    sheets.write_sheets({o.options.get("sheet_name", "Sheet1"): df}, path, int(o.options.get("max_rows", sheets.MOST_ROWS)))
 
 
 def _write_parquet(df: DataFrame, path: str, o: FormatOptions, mode: str) -> None:
     codec = (o.compression or "snappy").lower()
     if codec not in PARQUET_CODECS:
         raise UnsupportedFormatError(f"parquet compression {codec!r} isn't bundled", f"Codecs: {', '.join(PARQUET_CODECS)}.")
-    df.write.mode(mode).options(**{"compression": codec, **o.options}).parquet(path)
+    level = {} if o.compression_level is None else {"gzip": {"zlib.compress.level": o.compression_level}, "zstd": {"parquet.compression.codec.zstd.level": o.compression_level}}.get(codec, {})
+    df.write.mode(mode).options(**{"compression": codec, **level, **o.options}).parquet(path)
 
 
 def _builtin(name: str, **base: Any) -> tuple[Reader, Writer]:
