@@ -514,7 +514,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/veil-files"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or f"{tempfile.gettempdir()}/veil-files"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

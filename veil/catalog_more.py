@@ -20,7 +20,7 @@ from veil.operators.privacy import Budget, Gaussian, Laplace, Parameters, Privat
 from veil.operators.values import Patterns
 from veil.plans.nested import get_nested, rewrite_json_text, set_nested
 from veil.plans.policy import Policy, merge
-from veil.sources import databases, files
+from veil.sources import databases, files, sheets
 from veil.streaming import runs
 
 # --- generators -----------------------------------------------------------
@@ -143,6 +143,17 @@ _SSN_RANGES = r"\b(?:00[1-9]|0[1-9]\d|[1-5]\d{2}|6[0-5]\d|66[0-57-9]|6[7-9]\d|[7
 ORACLE_SQL["find_ssns_in_text"] = f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_SSN_RANGES}'), '|') AS ssns FROM documents"
 
 
+@query(f"""
+SELECT kind, value, count(*) AS times FROM (
+  SELECT 'email' AS kind, unnest(regexp_extract_all(text, '{finders.EMAIL}')) AS value FROM documents UNION ALL
+  SELECT 'ssn', unnest(regexp_extract_all(text, '{_SSN_RANGES}')) FROM documents UNION ALL
+  SELECT 'ip_address', unnest(regexp_extract_all(text, '{finders.IPV4}')) FROM documents) GROUP BY ALL
+""")
+def finds_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = finders.finds(table(spark, sf_dir, "documents"), "text", "doc_id", kinds=("email", "ssn", "ip_address"))
+    return found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("times"))
+
+
 def _redact_sql() -> str:
     out = "text"
     for pattern, mark in ((finders.EMAIL, "[EMAIL]"), *((p, "[CARD]") for p in finders.CARDS.values()), *((p, "[PHONE]") for p in (finders.PHONES[4], *finders.PHONES[:4])), (_SSN_RANGES, "[SSN]"), (finders.IPV4, "[IP]")):
@@ -226,6 +237,25 @@ def dp_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- files ----------------------------------------------------------------
 
+_MONEY = "CAST(c_acctbal AS DECIMAL(15, 2))"
+
+
+@query(f"SELECT c_custkey, sha256(c_name) AS c_name, {_MONEY} AS money, c_custkey % 2 = 0 AS even FROM customer")
+def file_avro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, even = _folder(spark, "avro"), (F.col("c_custkey") % 2 == 0).alias("even")
+    files.write(table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(15,2)").alias("money"), even), f"{at}/in.avro")
+    files.anonymize_file(spark, f"{at}/in.avro", f"{at}/out.avro", {"c_name": {"strategy": "hash"}})
+    return files.read(spark, f"{at}/out.avro").select("c_custkey", "c_name", "money", "even")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, sha256(s_name) AS s_name, 'suppliers,nations' AS sheets FROM supplier")
+def file_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _folder(spark, "excel")
+    sheets.write_sheets({"suppliers": table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "nations": table(spark, sf_dir, "nation").select("n_name")}, f"{at}-in.xlsx")
+    files.anonymize_file(spark, f"{at}-in.xlsx", f"{at}-out.xlsx", {"s_name": {"strategy": "hash"}})
+    return files.read(spark, f"{at}-out.xlsx").select("s_suppkey", "s_name", F.lit(",".join(sheets.sheet_names(f"{at}-in.xlsx"))).alias("sheets"))
+
+
 _HASHED = "SELECT CAST(c_custkey AS {kind}) AS c_custkey, sha256(c_name) AS c_name FROM customer"
 
 

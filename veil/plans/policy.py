@@ -47,6 +47,10 @@ def merge(base: Mapping[str, Any], override: Mapping[str, Any]) -> dict[str, Any
     return out
 
 
+#: Locales that generators have values for.
+LOCALES = ("en_US", "en")
+
+
 @dataclass(frozen=True)
 class Rule:
     strategy: str
@@ -80,6 +84,10 @@ class Policy:
             raise PolicyError("; ".join(faults))
         return cls({name: Rule.of(rule) for name, rule in config.items()}, **options)
 
+    def __post_init__(self) -> None:
+        if self.locale not in LOCALES:
+            raise PolicyError(f"no values for locale {self.locale!r}", f"Locales: {', '.join(LOCALES)}.")
+
     def configure(self, *, locale: str | None = None, preserve_relationships: bool | None = None, seed: object = None) -> Policy:
         """A policy with some settings changed; calls can be chained."""
         new = {"locale": locale, "consistent": preserve_relationships, "seed": seed}
