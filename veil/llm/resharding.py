@@ -11,10 +11,11 @@ The bytes of a block's rows are counted at the block's mean, so the cost is leas
 for sizes within a class (they differ by a tenth at most), not for single rows.
 Capacities other than equal shares can be given as rows by shard.
 
-Of a block that gives rows away, the smallest go, by their rank in it.  Ranks
-come from a range sort: each row's place within its partition's part of the
-block, plus what the partitions before hold of it.  No block meets in one task,
-however many rows share a size, a key or an old shard.
+Of a block that gives rows away, the first go, by their rank in it: a row's place
+among its block's rows in its partition, plus what the partitions before hold of
+the block.  Places are written with the rows, so a task that is run again has
+those that count.  No row is shuffled, and no block meets in one task, however
+many rows share a size, a key or an old shard.
 
 Old shards are files, a folder for each.  The affected shards are written as
 files of a new version, straight from the old ones without a shuffle, and a
@@ -24,8 +25,7 @@ ends early leaves the old manifest, and ``tidied`` deletes versions that none na
 Law kept: ``rows``, the shards' row counts differ by one at most.
 
 Cases: null texts have no bytes and crc 0; sizes are bytes plus a constant for
-each row; repeated rows and equal sizes are ordered by key and crc, and rows
-equal in all of these are interchangeable; a null key sorts first; a null old
+each row; repeated rows, equal sizes and null keys are rows like any others; a null old
 shard is shard 0; old shards beyond the new number give all their rows away; an
 empty table gives no rows; only the named columns are read.
 """
@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veil.llm._shared import filesystem, partitions_of, release, shared_dir, through_table
+from veil.llm._shared import bounded_batches, filesystem, shared_dir, through_table
 
 CLASSES = 8
 BROADCAST_ROWS = 500_000
@@ -174,6 +174,7 @@ def solve(blocks: dict[int, tuple[int, int]], shards: int, room: Sequence[int] |
 def reshard(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "doc_id", text: str = "text", row_bytes: int = 16, carry: tuple[str, ...] = (), room: Sequence[int] | None = None) -> tuple[DataFrame, list[Transfer]]:
     """(doc_id, size, text_crc32, old_shard, shard, slot and the carried columns; the transfers)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
@@ -183,13 +184,11 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "doc_
         *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)),
     )
     block = F.col("old_shard").cast("long") * _CLASS + F.floor(F.log2(F.col("size") + F.lit(1)) * CLASSES)
-    order = ["block", "size", "doc_id", "text_crc32"]
-    ordered = rows.withColumn("block", block).repartitionByRange(partitions_of(rows), *order).sortWithinPartitions(*order)
-    placed = ordered.mapInArrow(_nth, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema), "part int", "nth long"]))
+    rows = rows.withColumn("block", block)
+    placed = rows.mapInArrow(_nth, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "part int", "nth long"]))
     path = shared_dir(spark, "old-shards")
     placed.write.partitionBy("old_shard").parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path)
-    release(spark)
     by_part = through_table(spark, placed.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "blocks")
     totals = by_part.groupBy("block").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()
     transfers = solve({r["block"]: (r["n"], r["bytes"]) for r in totals}, shards, room)
@@ -205,17 +204,16 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, *, key: str = "doc_
 
 
 def _nth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition's number, and each row's place within its block's rows there."""
-    part, block, met = TaskContext.get().partitionId(), None, 0
+    """Adds the partition's number, and each row's place among its block's rows there."""
+    part, met = TaskContext.get().partitionId(), defaultdict(int)
     for batch in batches:
         own = batch.column("block").to_numpy()
-        if not len(own):
-            continue
-        begin = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
-        nth = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
-        if own[0] == block:
-            nth[: begin[1] if len(begin) > 1 else len(own)] += met
-        block, met = own[-1], int(nth[-1]) + 1
+        order = np.argsort(own, kind="stable")
+        block, first, many = np.unique(own[order], return_index=True, return_counts=True)
+        nth = np.empty(len(own), np.int64)
+        nth[order] = np.arange(len(own)) + np.repeat(np.array([met[b] for b in block.tolist()], np.int64) - first, many)
+        for b, n in zip(block.tolist(), many.tolist(), strict=True):
+            met[b] += n
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), part, np.int32)), pa.array(nth)], names=[*batch.schema.names, "part", "nth"])
 
 
