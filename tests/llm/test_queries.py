@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from test_operators import SF, brute_near, brute_repeats, brute_repeat_lengths, check_packed, store_rows, texts
 
 import corpus_pipeline
